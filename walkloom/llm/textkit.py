@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -46,7 +47,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text each; one row at least."""
     col = batch.column(column)
-    size = np.cumsum(np.nan_to_num(np.asarray(pa.compute.binary_length(col).to_numpy(zero_copy_only=False), float)) + 64)
+    size = np.cumsum(np.nan_to_num(np.asarray(pc.binary_length(col).to_numpy(zero_copy_only=False), float)) + 64)
     start = 0
     while start < batch.num_rows:
         base = size[start - 1] if start else 0
@@ -57,7 +58,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and the n + 1 places where they start; a null is an empty text."""
-    texts = pa.compute.fill_null(texts, "").cast(pa.large_binary())
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(texts) else np.zeros(0, np.uint8)
