@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup
-from .common import table
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import decontaminate, exact_dedup, line_dedup, near_dedup, token_store
+from .common import new_path, table
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_path(spark, "tokens")
+    manifest = token_store.write_store(table(spark, sf_dir, "documents"), root, tokenizer_file("byte_bpe_50k.json"), "byte", 2)
+    return token_store.read_store(manifest, root).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
 
 QUERIES = {
+    "op2_token_store": op2,
     "op3_minhash_near_dedup": lambda spark, d: near_dedup.near_groups(table(spark, d, "documents")),
+    "op5_decontamination": lambda spark, d: decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op7_line_dedup": lambda spark, d: line_dedup.drop_boilerplate(table(spark, d, "documents")).select("doc_id", "text", "n_lines", "n_dropped"),
     "op10_exact_dedup": lambda spark, d: exact_dedup.exact_groups(table(spark, d, "documents")),
 }
 
 ORACLES = {
+    "op7_line_dedup": line_dedup.SQL,
     "op10_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS k FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY k) AS group_size,
