@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, near_dedup, token_store
+from . import decontaminate, exact_dedup, line_dedup, near_dedup, packing, token_store
 from .common import new_path, table
 
 
@@ -21,10 +21,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(manifest, root).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    found = packing.pack(docs, tokenizer_file("word_bpe_49k.json"), "word", 1)
+    return found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES = {
     "op2_token_store": op2,
     "op3_minhash_near_dedup": lambda spark, d: near_dedup.near_groups(table(spark, d, "documents")),
     "op5_decontamination": lambda spark, d: decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op6_best_fit_packing": lambda spark, d: packed(table(spark, d, "documents")),
     "op7_line_dedup": lambda spark, d: line_dedup.drop_boilerplate(table(spark, d, "documents")).select("doc_id", "text", "n_lines", "n_dropped"),
     "op10_exact_dedup": lambda spark, d: exact_dedup.exact_groups(table(spark, d, "documents")),
 }
