@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, near_dedup, packing, token_store
+from . import decontaminate, exact_dedup, line_dedup, near_dedup, packing, pii, token_store
 from .common import new_path, table
 
 
@@ -26,12 +26,18 @@ def packed(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(pii.joined("base_spans"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
 QUERIES = {
     "op2_token_store": op2,
     "op3_minhash_near_dedup": lambda spark, d: near_dedup.near_groups(table(spark, d, "documents")),
     "op5_decontamination": lambda spark, d: decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op6_best_fit_packing": lambda spark, d: packed(table(spark, d, "documents")),
     "op7_line_dedup": lambda spark, d: line_dedup.drop_boilerplate(table(spark, d, "documents")).select("doc_id", "text", "n_lines", "n_dropped"),
+    "op9_personal_data": op9,
     "op10_exact_dedup": lambda spark, d: exact_dedup.exact_groups(table(spark, d, "documents")),
 }
 
