@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Joins broadcast a side of ids only up to this many rows (about 16 MB as a hash relation); beyond it they shuffle.
 BROADCAST_ROWS = 400_000
 
+#: Groups in which the partitions' sums are added before they go to the driver.
+GROUPS = 8
+
 _own: list[str] = []
 
 
@@ -51,3 +57,23 @@ def whole_text(text: str) -> F.Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _sums(of: Callable[[pa.RecordBatch], np.ndarray]) -> Callable:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = of(batch)
+                total = x if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"total": [total.astype("<f8").tobytes()]})
+
+    return task
+
+
+def summed(rows: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray | None:
+    """Sum of a fixed-size array over all rows: per partition, then per group of partitions, then on the driver."""
+    parts = rows.mapInArrow(_sums(of), "total binary")
+    found = parts.repartition(GROUPS).mapInArrow(_sums(lambda b: np.sum([np.frombuffer(x, "<f8") for x in b.column("total").to_pylist()], axis=0)), "total binary").collect()
+    return np.sum([np.frombuffer(r["total"], "<f8") for r in found], axis=0) if found else None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, near_dedup, packing, pii, token_store
+from . import decontaminate, exact_dedup, html_text, line_dedup, lm, near_dedup, packing, pii, quality, token_store
 from .common import new_path, table
 
 
@@ -32,11 +32,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": lambda spark, d: lm.lm_scores(table(spark, d, "documents")),
     "op2_token_store": op2,
     "op3_minhash_near_dedup": lambda spark, d: near_dedup.near_groups(table(spark, d, "documents")),
+    "op4_quality_classifier": lambda spark, d: quality.quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_decontamination": lambda spark, d: decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op6_best_fit_packing": lambda spark, d: packed(table(spark, d, "documents")),
     "op7_line_dedup": lambda spark, d: line_dedup.drop_boilerplate(table(spark, d, "documents")).select("doc_id", "text", "n_lines", "n_dropped"),
+    "op8_html_main_text": lambda spark, d: html_text.main_text(table(spark, d, "pages")),
     "op9_personal_data": op9,
     "op10_exact_dedup": lambda spark, d: exact_dedup.exact_groups(table(spark, d, "documents")),
 }
