@@ -19,6 +19,7 @@ BROADCAST_ROWS = 400_000
 #: Groups in which the partitions' sums are added before they go to the driver.
 GROUPS = 8
 
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8388608"
 _own: list[str] = []
 
 
@@ -41,7 +42,12 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The frame as a table in the shared folder: computed once, lineage cut, safe against lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH_BYTES)  # long texts: batches between the JVM and Python by size, not only by rows
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -76,7 +76,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return [np.unique(sh[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
 
     for batch in batches:
-        for part in slices(batch, "text_a", 1 << 20):
+        for part in slices(batch, "text_a"):
             good = []
             for x, y in zip(sets(part.column("text_a")), sets(part.column("text_b")), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
