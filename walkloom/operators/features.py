@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from walkloom.functions import geometry
 
-ALONG = Window.partitionBy("g", "walk").orderBy("pos")
+
+def along():  # noqa: ANN201
+    """The steps of a walk in order."""
+    return Window.partitionBy("g", "walk").orderBy("pos")
 
 
 def repeat_encoding(steps: DataFrame, s: int) -> DataFrame:
     """g, walk, pos, d, bit: whether the node equals the one d steps before."""
-    bits = F.array(*[F.coalesce((F.col("node") == F.lag("node", d).over(ALONG)).cast("int"), F.lit(0)) for d in range(1, s + 1)])
+    bits = F.array(*[F.coalesce((F.col("node") == F.lag("node", d).over(along())).cast("int"), F.lit(0)) for d in range(1, s + 1)])
     return steps.withColumn("bits", bits).select("g", "walk", "pos", F.posexplode("bits").alias("d", "bit")).withColumn("d", F.col("d") + 1)
 
 
 def edge_encoding(steps: DataFrame, edges: DataFrame, s: int) -> DataFrame:
     """g, walk, pos, d, bit: whether the node and the one d steps before are adjacent in either direction."""
-    back = F.array(*[F.lag("node", d).over(ALONG) for d in range(1, s + 1)])
+    back = F.array(*[F.lag("node", d).over(along()) for d in range(1, s + 1)])
     pairs = steps.withColumn("back", back).select("g", "walk", "pos", "node", F.posexplode("back").alias("d", "prev"))
     both = edges.select("g", F.col("u").alias("prev"), F.col("v").alias("node")).unionByName(edges.select("g", F.col("v").alias("prev"), F.col("u").alias("node"))).dropDuplicates().withColumn("bit", F.lit(1))
     return pairs.join(both, ["g", "prev", "node"], "left").select("g", "walk", "pos", (F.col("d") + 1).alias("d"), F.coalesce("bit", F.lit(0)).alias("bit"))
@@ -31,7 +34,7 @@ def anonymised(ids: Column) -> Column:
 
 def step_bonds(steps: DataFrame, pairs: DataFrame, adjacent: DataFrame | None = None) -> DataFrame:
     """Distance of each step from the step before, 0 at the start; with `adjacent`, 0 also where the two are no edge."""
-    moved = steps.withColumn("prev", F.lag("node").over(ALONG))
+    moved = steps.withColumn("prev", F.lag("node").over(along()))
     joined = moved.join(pairs.select("g", F.col("u").alias("prev"), F.col("v").alias("node"), "dist"), ["g", "prev", "node"], "left")
     if adjacent is not None:
         ends = adjacent.select("g", F.col("u").alias("prev"), F.col("v").alias("node"), F.lit(1).alias("near")).dropDuplicates()
@@ -45,7 +48,7 @@ def placed(steps: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def step_angles(located: DataFrame) -> DataFrame:
     """g, walk, pos, angle (from step 2) and dihedral (from step 3), null before."""
-    p = [F.lag("xyz", k).over(ALONG) for k in range(4)]
+    p = [F.lag("xyz", k).over(along()) for k in range(4)]
     rows = located.select("g", "walk", "pos", F.col("xyz").alias("p0"), *[p[k].alias(f"p{k}") for k in (1, 2, 3)])
     c = F.col
     return rows.select("g", "walk", "pos", F.when(c("p2").isNotNull(), geometry.bond_angle(c("p2"), c("p1"), c("p0"))).alias("angle"), F.when(c("p3").isNotNull(), geometry.dihedral(c("p3"), c("p2"), c("p1"), c("p0"))).alias("dihedral"))
@@ -57,7 +60,7 @@ def position_encoding(pos: Column, d: int) -> Column:
 
 def pair_geometry(located: DataFrame) -> DataFrame:
     """g, walk, i, j, dist, angle_i, angle_j, dihedral for all ordered pairs of steps; angles are null where a neighbour is missing or i = j."""
-    rows = located.select("g", "walk", "pos", "xyz", F.lag("xyz").over(ALONG).alias("before"), F.lead("xyz").over(ALONG).alias("after"))
+    rows = located.select("g", "walk", "pos", "xyz", F.lag("xyz").over(along()).alias("before"), F.lead("xyz").over(along()).alias("after"))
     a, b = rows.select("g", "walk", F.col("pos").alias("i"), F.col("xyz").alias("xi"), "before"), rows.select("g", "walk", F.col("pos").alias("j"), F.col("xyz").alias("xj"), "after")
     c, off = F.col, F.col("i") != F.col("j")
     return a.join(b, ["g", "walk"]).select("g", "walk", "i", "j", geometry.distance(c("xi"), c("xj")).alias("dist"), F.when(off & c("before").isNotNull(), geometry.bond_angle(c("before"), c("xi"), c("xj"))).alias("angle_i"), F.when(off & c("after").isNotNull(), geometry.bond_angle(c("xi"), c("xj"), c("after"))).alias("angle_j"), F.when(off & c("before").isNotNull() & c("after").isNotNull(), geometry.dihedral(c("before"), c("xi"), c("xj"), c("after"))).alias("dihedral"))

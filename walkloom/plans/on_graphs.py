@@ -217,7 +217,7 @@ def two_sample_chi2(spark, d):
 
 @query(f"{R}{fx.G1}, {fx.sql_walk(NW, L)} SELECT count(*) bad FROM w a JOIN w b ON b.g = a.g AND b.walk = a.walk AND b.pos = a.pos + 1 LEFT JOIN e ON e.g = a.g AND e.u = a.node AND e.v = b.node WHERE a.node <> b.node AND e.g IS NULL")
 def transition_validity(spark, d):
-    rows = walks.steps(_walks(spark, d)).withColumn("u", F.lag("node").over(features.ALONG)).where("u is not null and u <> node")
+    rows = walks.steps(_walks(spark, d)).withColumn("u", F.lag("node").over(features.along())).where("u is not null and u <> node")
     bad = rows.select("g", "u", F.col("node").alias("v")).join(fx.g1(spark, d)[1], ["g", "u", "v"], "left_anti")
     return bad.agg(F.count("*").alias("bad"))
 
