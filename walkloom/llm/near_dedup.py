@@ -6,8 +6,9 @@ most 2t rounds, usually a few, and agreement of coordinates estimates similarity
 coordinates give candidate buckets, and every link is confirmed on the full sets.
 
 Texts with equal sets form one class and only its smallest id goes on. Small buckets compare all their members; large ones
-compare members with the bucket's most central member first, and afterwards only members that are still in different components, so
-that a large group of mutual near-copies costs a linear number of comparisons and no link between components is left out.
+compare members with the bucket's most central member first, and afterwards only members that are still in different components and
+that exact bounds don't keep apart, so that a large group of near-copies costs about as many comparisons as it has members and no link
+between components is left out.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_ids, whole_text, written
@@ -67,18 +68,18 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(f1), pa.array(f2), pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))], names=["doc_id", "n_shingles", "f1", "f2", "bands"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full shingle sets have 100 * intersection >= 75 * union."""
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    words, at = word_hashes(texts)
+    sh, at = shingles(words, at, WIDTH)
+    return [np.unique(sh[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
 
-    def sets(texts: pa.Array) -> list[np.ndarray]:
-        words, at = word_hashes(texts)
-        sh, at = shingles(words, at, WIDTH)
-        return [np.unique(sh[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
 
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose full shingle sets have 100 * intersection >= 75 * union."""
     for batch in batches:
         for part in slices(batch, "text_a"):
             good = []
-            for x, y in zip(sets(part.column("text_a")), sets(part.column("text_b")), strict=True):
+            for x, y in zip(_sets(part.column("text_a")), _sets(part.column("text_b")), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both > 0 and 100 * both >= 75 * (len(x) + len(y) - both))
             mask = pa.array(good, pa.bool_())
@@ -134,15 +135,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = confirm(tried, texts)
     comps = components(links)
 
-    # Large buckets that still hold several components: compare across components, leaders first, then everything left.
-    for last in (False, True):
-        open_ = written(_open(members.where(F.col("size") > SMALL), comps), "open")
-        if open_.isEmpty():
-            break
-        more = _across(open_, whole=last).join(tried, ["a", "b"], "left_anti")
-        more = written(more, "pairs")
-        links = links.unionByName(confirm(more, texts))
-        tried = tried.unionByName(more)
+    more = _left(large, first, comps, texts)
+    if more is not None:
+        links = links.unionByName(confirm(written(more.join(tried, ["a", "b"], "left_anti"), "pairs"), texts))
         comps = components(links)
 
     found = classes.join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("f1", "f2", F.coalesce("comp", "rep").alias("comp"))
@@ -176,16 +171,49 @@ def _within(rows: DataFrame) -> DataFrame:
     return x.join(y, ["band", "sig"]).where((F.col("v") < F.col("w")) & _fits(F.col("n"), F.col("m"))).select(*_pair(F.col("v"), F.col("w")))
 
 
-def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members, with their component, of buckets that hold more than one."""
-    own = rows.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    mixed = own.groupBy("band", "sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "sig")
-    return own.join(mixed, ["band", "sig"])
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each member v and head w: how many shingles they share, and the shingles of v alone."""
+    for batch in batches:
+        for part in slices(batch, "text_v"):
+            shared, own = [], []
+            for x, y in zip(_sets(part.column("text_v")), _sets(part.column("text_w")), strict=True):
+                alone = np.setdiff1d(x, y, assume_unique=True)
+                shared.append(len(x) - len(alone))
+                own.append(alone.view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([part.column("v"), part.column("w"), pa.array(shared, pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["v", "w", "i", "own"])
+
 
+def _left(large: DataFrame, heads: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) that may still link components among the members of large buckets with one head; None if there are none.
 
-def _across(open_: DataFrame, whole: bool) -> DataFrame:
-    """Pairs of members in different components: with one member of each other component, or all that is left."""
-    side = open_ if whole else open_.groupBy("band", "sig", "comp").agg(F.max_by(F.struct("v", "n"), F.struct("size", -F.col("v"))).alias("x")).select("band", "sig", "comp", "x.v", "x.n")
-    other = side.select("band", "sig", F.col("comp").alias("comp2"), F.col("v").alias("w"), F.col("n").alias("m"))
-    pairs = open_.join(other, ["band", "sig"]).where((F.col("comp") < F.col("comp2") if whole else F.col("comp") != F.col("comp2")) & _fits(F.col("n"), F.col("m")))
-    return pairs.select(*_pair(F.col("v"), F.col("w"))).distinct()
+    Members x and y of head w share at most min(|x & w|, |y & w|) shingles of w, and else only shingles outside w. So a link needs either
+    enough shingles of w in both, which the counts decide, or a common shingle outside w; and then, by the usual prefix argument, one among
+    the rarest |x| / 4 + 1 outside shingles of both. Members that differ from the head by words of their own thus meet nobody.
+    """
+    own = large.select("band", "sig", "v", "n").join(heads, ["band", "sig"]).select("v", "w", "n").distinct()
+    own = own.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    mixed = own.groupBy("w").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("w")
+    open_ = written(own.join(mixed, "w"), "open")
+    if open_.isEmpty():
+        return None
+    needed = written(open_.select(F.explode(F.array("v", "w")).alias("doc_id")).distinct(), "needed")
+    text = by_ids(texts, needed, "doc_id", "left_semi")
+    side = lambda name: text.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
+    both = open_.where("v <> w").select("v", "w").join(side("w"), "w").join(side("v"), "v").select("v", "w", "text_v", "text_w")
+    measured = both.mapInArrow(_measured, "v long, w long, i long, own array<long>").dropDuplicates(["v", "w"])
+    rows = open_.join(measured, ["v", "w"], "left").withColumn("i", F.coalesce("i", "n"))
+    rows = written(rows, "measured")
+
+    kinds = rows.select("w", "comp", "n", "i").distinct()
+    other = kinds.select("w", *[F.col(c).alias(f"{c}2") for c in ("comp", "n", "i")])
+    enough = 3 * (F.col("n") + F.col("n2")) <= 7 * F.least("i", "i2")
+    pass_ = kinds.join(other, "w").where((F.col("comp") < F.col("comp2")) & _fits(F.col("n"), F.col("n2")) & enough)
+    member = rows.select("w", "comp", "n", "i", "v")
+    second = rows.select("w", F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("v").alias("v2"))
+    near = pass_.join(member, ["w", "comp", "n", "i"]).join(second, ["w", "comp2", "n2", "i2"]).select(*_pair(F.col("v"), F.col("v2")))
+
+    parts = rows.select("w", "v", "n", "comp", F.explode("own").alias("s")).withColumn("df", F.count("*").over(Window.partitionBy("w", "s")))
+    rare = parts.withColumn("place", F.row_number().over(Window.partitionBy("w", "v").orderBy("df", "s"))).where("df > 1 and 4 * (place - 1) <= n").select("w", "s", "v", "n", "comp")
+    rare2 = rare.select("w", "s", F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+    far = rare.join(rare2, ["w", "s"]).where((F.col("comp") < F.col("comp2")) & _fits(F.col("n"), F.col("n2"))).select(*_pair(F.col("v"), F.col("v2")))
+    return near.unionByName(far).distinct()
