@@ -140,19 +140,18 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[i
     return out + best_fit({x: n for x, n in left.items() if n}, capacity)
 
 
-def _places(configs: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, ...]:
-    """Sorted entries (length and first rank as one key, first rank, pieces a sequence, first sequence, offset) to look ranks up in."""
+def _places(configs: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Length, first rank, end of ranks, pieces a sequence, first sequence, offset of each place in a configuration."""
     rows, sequence, seen = [], 0, Counter()
     for config, n in configs:
         offset = 0
         for length in sorted(config, reverse=True):
             a = config[length]
-            rows.append(((length << 44) + seen[length], seen[length], a, sequence, offset))
+            rows.append((length, seen[length], seen[length] + a * n, a, sequence, offset))
             seen[length] += a * n
             offset += a * length
         sequence += n
-    rows.sort()
-    return tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else tuple(np.zeros(0, np.int64) for _ in range(5))
+    return rows
 
 
 def _pieces(tokenizer: str, kind: str, end_id: int, capacity: int) -> Callable:
@@ -171,20 +170,6 @@ def _pieces(tokenizer: str, kind: str, end_id: int, capacity: int) -> Callable:
     return task
 
 
-def _placed(entries: tuple[np.ndarray, ...]) -> Callable:
-    key, first, each, sequence, offset = entries
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            e = np.searchsorted(key, (length << 44) + rank, side="right") - 1
-            k = rank - first[e]
-            own = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(sequence[e] + k // each[e]), pa.array(offset[e] + k % each[e] * length)], names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
-
-    return task
-
-
 def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian unsigned 32-bit, binary), sequence_id, offset of every piece.
 
@@ -202,4 +187,8 @@ def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int
     order = Window.partitionBy("length", "lot").orderBy("doc_id", "piece", "ids")
     ranked = pieces.withColumn("own", F.row_number().over(order)).join(ahead.hint("merge"), ["length", "lot"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids", (F.col("ahead") + F.col("own") - 1).alias("rank"))
-    return ranked.mapInArrow(_placed(_places(plan(lengths, capacity))), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    # The lengths and the program's rounds bound the plan, not the documents: a few ten thousand rows at most.
+    places = docs.sparkSession.createDataFrame(_places(plan(lengths, capacity)), "of long, first long, end long, each long, sequence long, at long")
+    found = ranked.join(F.broadcast(places), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
+    k = F.col("rank") - F.col("first")
+    return found.select("doc_id", "piece", "start", "length", "ids", (F.col("sequence") + F.expr("(rank - first) div each")).alias("sequence_id"), (F.col("at") + k % F.col("each") * F.col("length")).alias("offset"))

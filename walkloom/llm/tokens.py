@@ -6,6 +6,7 @@ units one after the other, and each distinct unit goes through the tokenizer onc
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 
@@ -15,23 +16,45 @@ import numpy as np
 _WS = "\\t\\n\\x0b\\x0c\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: byte: pre-tokens may carry one leading space; words: white space is dropped.
 UNITS = {"byte": re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"), "word": re.compile(f"[^{_WS}]+")}
+#: A word with marks after it: the marks are always pre-tokens of their own, so both parts are looked up by themselves.
+_MARKED = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]+)")
+#: Entries of a worker's cache (about 80 MB); a full one is emptied.
 _MOST = 400_000
-_loaded: dict[str, tuple[object, dict[str, bytes]]] = {}
+#: Letters only, after at most one space: one pre-token, whose bytes are its own characters, so the tokenizer's model can take it as it is.
+_PLAIN = re.compile("[A-Za-z]+")
+_loaded: dict[str, tuple[object, object, dict[str, bytes]]] = {}
+
+
+def _fill(tokenizer: object, bare: object, cache: dict[str, bytes], units: list[str], lower: bool) -> None:
+    """Put the ids of new units into the cache; parts shared by many units go through the tokenizer once."""
+    parts = {u: m.groups() if (m := _MARKED.fullmatch(u)) else (u,) for u in units}
+    if lower:  # this tokenizer lowers its text; ASCII letters are lowered alike here
+        parts = {u: tuple(x.lower() if x.isascii() else x for x in p) for u, p in parts.items()}
+    fresh = [x for x in dict.fromkeys(x for p in parts.values() for x in p) if x not in cache]
+    for x in fresh:
+        word = x[1:] if x[0] == " " else x
+        plain = _PLAIN.fullmatch(word) is not None
+        found = bare.encode(word if word is x else "\u0120" + word, add_special_tokens=False) if plain else tokenizer.encode(x, add_special_tokens=False)
+        cache[x] = array("I", found.ids).tobytes()
+    for u, p in parts.items():
+        cache[u] = b"".join([cache[x] for x in p])
 
 
 def encode(path: str, kind: str, text: str) -> np.ndarray:
     """Ids (uint32) of the whole text without special tokens added."""
     if path not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path), {}
-    tokenizer, cache = _loaded[path]
+        bare = Tokenizer.from_file(path)  # the same model without the steps before it
+        bare.normalizer = bare.pre_tokenizer = bare.post_processor = None
+        _loaded[path] = Tokenizer.from_file(path), bare, {}
+    tokenizer, bare, cache = _loaded[path]
     units = UNITS[kind].findall(text)
     fresh = [u for u in dict.fromkeys(units) if u not in cache]
     if fresh:
         if len(cache) > _MOST:
             cache.clear()
             fresh = list(dict.fromkeys(units))
-        for unit, found in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            cache[unit] = array("I", found.ids).tobytes()
+        _fill(tokenizer, bare, cache, fresh, kind == "word")
     return np.frombuffer(b"".join(map(cache.__getitem__, units)), np.uint32)
