@@ -23,6 +23,8 @@ from .textkit import slices
 
 #: A subtree on at least so many pages and this share of a host's pages is template.
 MIN_PAGES, RATIO = 5, 0.2
+#: The hosts' template lists are broadcast only up to so many subtrees (8 bytes each and the host); beyond that they are joined by host.
+BROADCAST_TREES = 200_000
 # HTML elements by role.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
@@ -159,8 +161,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     total = parsed.groupBy("host").agg(F.count_distinct("page").alias("total"))
     # Only subtrees that hold text matter, once a page; copies of a whole page count once, or a mirrored page would be its own template.
     trees = parsed.select("host", "page", F.explode(F.array_distinct(F.flatten("trees"))).alias("tree")).groupBy("host", "tree").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= MIN_PAGES)
-    common = trees.join(total, "host").where(F.col("n") >= RATIO * F.col("total")).groupBy("host").agg(F.collect_list("tree").alias("template"))
-    known = parsed.join(common.withColumnRenamed("host", "at_host"), F.col("host") == F.col("at_host"), "left")
+    common = written(trees.join(total, "host").where(F.col("n") >= RATIO * F.col("total")).select("host", "tree"), "template")
+    few = common.limit(BROADCAST_TREES + 1).count() <= BROADCAST_TREES
+    # A host has at most (mean subtrees of its pages) / RATIO of them.
+    lists = common.groupBy("host").agg(F.collect_list("tree").alias("template")).withColumnRenamed("host", "at_host")
+    known = parsed.join(F.broadcast(lists) if few else lists.hint("merge"), F.col("host") == F.col("at_host"), "left")
     clean = F.transform("texts", lambda x, k: F.struct(x.alias("x"), F.get("articles", k).alias("a"), F.arrays_overlap(F.get("trees", k), F.coalesce("template", F.array().cast("array<long>"))).alias("t")))
     marked = known.select("page_id", "url", clean.alias("b"))
     kept = F.filter("b", lambda b: (b["a"] | ~F.exists("b", lambda x: x["a"])) & ~F.coalesce(b["t"], F.lit(False)))
