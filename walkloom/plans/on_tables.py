@@ -332,9 +332,11 @@ def run_checks(spark, d):
     return runs(spark, d).groupBy("model", "target").agg(F.count("*").alias("n"), F.bool_and(~F.isnan("mae")).alias("finite"), F.bool_or(F.col("stage") == "final").alias("present"), (F.abs(F.avg("mae") - 0.09) <= 0.05 * F.greatest(F.lit(0.09), F.lit(1.0))).alias("close"))
 
 
-@query(f"WITH {RUNS} SELECT model, target, m, seed, stage, concat(CAST(w // 3600 AS VARCHAR), 'h', lpad(CAST(w % 3600 // 60 AS VARCHAR), 2, '0'), 'm', lpad(CAST(w % 60 AS VARCHAR), 2, '0'), 's') wall, CASE WHEN mae >= 0.09 THEN printf('%.3f', mae) ELSE printf('%.4f', mae) END cell FROM (SELECT *, CAST(floor(wall) AS BIGINT) w FROM runs)")
+@query(f"WITH {RUNS} SELECT model, target, m, seed, stage, concat(CAST(w // 3600 AS VARCHAR), 'h', lpad(CAST(w % 3600 // 60 AS VARCHAR), 2, '0'), 'm', lpad(CAST(w % 60 AS VARCHAR), 2, '0'), 's') wall, CASE WHEN mae >= 0.09 THEN printf('%.3f', ((CAST(round(mae * 1e6) AS BIGINT) + 500) // 1000) / 1e3::DOUBLE) ELSE printf('%.4f', ((CAST(round(mae * 1e6) AS BIGINT) + 50) // 100) / 1e4::DOUBLE) END cell FROM (SELECT *, CAST(floor(wall) AS BIGINT) w FROM runs)")
 def format_cells(spark, d):
-    cell = F.when(F.col("mae") >= 0.09, F.format_string("%.3f", "mae")).otherwise(F.format_string("%.4f", "mae"))
+    # halves go up in whole millionths, so that the text does not hang on how a binary half is printed
+    cut = lambda n: F.floor((F.round(F.col("mae") * 1e6).cast("long") + n // 2) / n) * n / 1e6
+    cell = F.when(F.col("mae") >= 0.09, F.format_string("%.3f", cut(1000))).otherwise(F.format_string("%.4f", cut(100)))
     return runs(spark, d).select("model", "target", "m", "seed", "stage", experiments.wall(F.col("wall")).alias("wall"), cell.alias("cell"))
 
 
