@@ -159,8 +159,8 @@ def _pieces(tokenizer: str, kind: str, end_id: int, capacity: int) -> Callable:
         for batch in batches:
             for part in slices(batch, "text"):
                 out: list[tuple[int | None, int, int, int, bytes]] = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = np.append(encode(tokenizer, kind, text), np.uint32(end_id))
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(tokenizer, kind, part.column("text").to_pylist()), strict=True):
+                    ids = np.append(ids, np.uint32(end_id))
                     for k, at in enumerate(range(0, len(ids), capacity)):
                         cut = ids[at : at + capacity]
                         out.append((doc, k, at, len(cut), cut.astype("<u4").tobytes()))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import whole_text, written
+from .textkit import slices
 from .tokens import encode
 
 _HEAD = "<4sBBHQQQQII"
@@ -72,10 +73,11 @@ class EliasFano:
 def _write(root: str, tokenizer: str, kind: str, end_id: int, id_bytes: int) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, ends, parts, shard, total = [], [], [], 0, 0
-        for batch in batches:
-            for doc, text, part in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("part").to_pylist(), strict=True):
-                ids = np.append(encode(tokenizer, kind, text.as_py()), np.uint32(end_id))
-                total, shard = total + len(ids), part
+        for some in (x for batch in batches for x in slices(batch, "text")):
+            shard = some.column("part")[0].as_py()
+            for doc, ids in zip(some.column("doc_id").to_pylist(), encode(tokenizer, kind, some.column("text").to_pylist()), strict=True):
+                ids = np.append(ids, np.uint32(end_id))
+                total += len(ids)
                 docs.append(doc)
                 ends.append(total)
                 parts.append(ids.astype(f"<u{id_bytes}").tobytes())

@@ -8,53 +8,69 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 
 import numpy as np
 
 #: White space in the sense of the tokenizers' patterns (Unicode White_Space).
 _WS = "\\t\\n\\x0b\\x0c\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: byte: pre-tokens may carry one leading space; words: white space is dropped.
-UNITS = {"byte": re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"), "word": re.compile(f"[^{_WS}]+")}
-#: A word with marks after it: the marks are always pre-tokens of their own, so both parts are looked up by themselves.
-_MARKED = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]+)")
+#: Letters that are their own composed form and whose lower case is one letter too.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: ASCII marks except the apostrophe; after letters they are always pre-tokens of their own.
+_MARKS = "!-&(-/:-@\\[-`{-~"
+_WORD = f"[{_LETTERS}]++(?=[{_MARKS}]*+(?:[{_WS}]|\\Z))"
+#: A word and the marks after it are two units. byte: pre-tokens may carry one leading space; word: white space is dropped.
+UNITS = {"byte": re.compile(f" ?{_WORD}| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"), "word": re.compile(f"{_WORD}|[^{_WS}]+")}
 #: Entries of a worker's cache (about 80 MB); a full one is emptied.
 _MOST = 400_000
-#: Letters only, after at most one space: one pre-token, whose bytes are its own characters, so the tokenizer's model can take it as it is.
-_PLAIN = re.compile("[A-Za-z]+")
-_loaded: dict[str, tuple[object, object, dict[str, bytes]]] = {}
+#: Letters after at most one space: one pre-token, so the tokenizer's model can take the characters that stand for its bytes.
+_PLAIN = re.compile(f" ?[{_LETTERS}]+")
+_shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+#: Byte-level tokenizers write a printable byte as its Latin-1 character and the others, in order, as the characters from 256 on.
+_BYTES = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_shown)))}
+_loaded: dict[str, tuple[object, object, list[str], dict[str, bytes]]] = {}
+
+
+def _ids(bare: object, words: list[str]) -> list[bytes]:
+    """Ids of each word of letters, all words in one call; a line feed after each, which no token of letters holds, marks its end."""
+    feed = chr(_BYTES[10])
+    mark = bare.encode(feed, add_special_tokens=False).ids[0]
+    found = bare.encode_batch_fast([[x for w in words for x in (w, feed)]], is_pretokenized=True, add_special_tokens=False)[0]
+    ids = np.array(found.ids, np.uint32)
+    ends = (np.flatnonzero(ids == mark) * 4).tolist()
+    raw = ids.tobytes()
+    return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
 
 
 def _fill(tokenizer: object, bare: object, cache: dict[str, bytes], units: list[str], lower: bool) -> None:
-    """Put the ids of new units into the cache; parts shared by many units go through the tokenizer once."""
-    parts = {u: m.groups() if (m := _MARKED.fullmatch(u)) else (u,) for u in units}
-    if lower:  # this tokenizer lowers its text; ASCII letters are lowered alike here
-        parts = {u: tuple(x.lower() if x.isascii() else x for x in p) for u, p in parts.items()}
-    fresh = [x for x in dict.fromkeys(x for p in parts.values() for x in p) if x not in cache]
-    for x in fresh:
-        word = x[1:] if x[0] == " " else x
-        plain = _PLAIN.fullmatch(word) is not None
-        found = bare.encode(word if word is x else "\u0120" + word, add_special_tokens=False) if plain else tokenizer.encode(x, add_special_tokens=False)
-        cache[x] = array("I", found.ids).tobytes()
-    for u, p in parts.items():
-        cache[u] = b"".join([cache[x] for x in p])
-
-
-def encode(path: str, kind: str, text: str) -> np.ndarray:
-    """Ids (uint32) of the whole text without special tokens added."""
+    """Put the ids of new units into the cache."""
+    plain = [u for u in units if _PLAIN.fullmatch(u)]
+    if plain:
+        words = [u.lower() for u in plain] if lower else plain
+        words = [w.replace(" ", "\u0120") if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in words]
+        cache.update(zip(plain, _ids(bare, words), strict=True))
+    other = [u for u in units if u not in cache]
+    if other:
+        cache.update((u, np.array(e.ids, np.uint32).tobytes()) for u, e in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True))
+
+
+def encode(path: str, kind: str, texts: list[str]) -> list[np.ndarray]:
+    """Ids (uint32) of each whole text without special tokens added."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         bare = Tokenizer.from_file(path)  # the same model without the steps before it
         bare.normalizer = bare.pre_tokenizer = bare.post_processor = None
-        _loaded[path] = Tokenizer.from_file(path), bare, {}
-    tokenizer, bare, cache = _loaded[path]
-    units = UNITS[kind].findall(text)
-    fresh = [u for u in dict.fromkeys(units) if u not in cache]
+        special = [t.content for t in bare.get_added_tokens_decoder().values()]
+        _loaded[path] = Tokenizer.from_file(path), bare, special, {}
+    tokenizer, bare, special, cache = _loaded[path]
+    # A special token's string cuts a text before anything else does, so such a text is not taken by units.
+    whole = {k: tokenizer.encode(text, add_special_tokens=False).ids for k, text in enumerate(texts) if any(x in text for x in special)}
+    units = [[] if k in whole else UNITS[kind].findall(text) for k, text in enumerate(texts)]
+    fresh = set().union(*units).difference(cache)
     if fresh:
         if len(cache) > _MOST:
             cache.clear()
-            fresh = list(dict.fromkeys(units))
-        _fill(tokenizer, bare, cache, fresh, kind == "word")
-    return np.frombuffer(b"".join(map(cache.__getitem__, units)), np.uint32)
+            fresh = set().union(*units)
+        _fill(tokenizer, bare, cache, list(fresh), kind == "word")
+    return [np.array(whole[k], np.uint32) if k in whole else np.frombuffer(b"".join(map(cache.__getitem__, own)), np.uint32) for k, own in enumerate(units)]
