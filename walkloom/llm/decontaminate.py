@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
 Fixed masks select some of the next tokens and ignore the others, so a seed still matches when an ignored token was replaced. Test
-items and training texts are hashed under every mask and joined on (mask, hash). Hits on one diagonal (text position minus item
-position) are then verified token by token over the stretch they span, which tolerates further substitutions.
+items and training texts are hashed under every mask and joined on (mask, hash). Each diagonal (text position minus item position) with
+a hit is then compared token by token over the whole overlap of item and text, and its best run decides.
 """
 
 from __future__ import annotations
@@ -37,11 +37,40 @@ def _seeds(rows: DataFrame, id_col: str) -> DataFrame:
     return at.select(id_col, "pos", F.explode(F.array(*own)).alias("s")).select(id_col, "pos", "s.mask", "s.hash").where("hash is not null")
 
 
+def _sums(equal: F.Column) -> F.Column:
+    """Number of equal tokens before each place, and in all."""
+    return F.aggregate(equal, F.array(F.lit(0)), lambda sums, e: F.array_append(sums, F.element_at(sums, -1) + e.cast("int")))
+
+
+def _level(at: F.Column) -> F.Column:
+    """Equal tokens before a place beyond the share asked for: a run reaches the share if its end is not below its start."""
+    return F.get("sums", at) - MIN_SHARE * at
+
+
+def _best(sums: F.Column, least: F.Column) -> F.Column:
+    """Most equal tokens of any run of at least so many tokens that reaches the share; 0 if there is none."""
+
+    def run(end: F.Column) -> F.Column:
+        starts = F.filter(F.sequence(F.lit(0), end - least), lambda at: _level(at) <= _level(end))
+        return F.get(sums, end) - F.get(sums, F.get(starts, F.lit(0)))
+
+    runs = F.transform(F.sequence(least, F.size(sums) - 1), run)
+    return F.when(F.size(sums) > least, F.coalesce(F.array_max(runs), F.lit(0))).otherwise(0)
+
+
+def _places() -> F.Column:
+    """Places in the item of the equal tokens from the first to the last hit, and as far before and after as the share holds from there."""
+    left = F.get(F.filter(F.sequence(F.lit(0), F.col("lo")), lambda at: _level(at) <= _level(F.col("lo"))), F.lit(0))
+    right = F.array_max(F.filter(F.sequence(F.col("hi"), F.size("equal")), lambda at: _level(at) >= _level(F.col("hi"))))
+    return F.transform(F.filter(F.sequence(left, right - 1), lambda i: F.get("equal", i)), lambda i: i + F.col("start"))
+
+
 def contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per contaminated document: doc_id, contaminated (true), n_items, item_ids, matched_tokens (of the best stretch).
 
-    A document is contaminated by an item if on one diagonal a stretch of at least 13 tokens (or the whole of a shorter item) has 75 %
-    of its tokens equal, or if stretches on several diagonals (tokens inserted or lost) together match 75 % of the item. Null or
+    A document is contaminated by an item if on one diagonal that a seed hits any run of at least 13 tokens (or the whole of a shorter
+    item) has 75 % of its tokens equal, or if stretches around the hits of several diagonals (tokens inserted or lost) together match 75 %
+    of the item. matched_tokens are the equal tokens of the longest such run, or of the best stretch where only several do together. Null or
     empty texts, and items under 8 words, match nothing; rows with a null id are not reported; repeated ids are reported once.
     Columns besides id and text are not read. Empty tables give no rows.
     """
@@ -57,12 +86,15 @@ def contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text
     # Only documents with a hit are read again; each brings the list of its stretches, whose number its own length bounds.
     hit_ids = written(spans.select("doc_id").distinct(), "hit_ids")
     again = by_ids(texts, hit_ids, "doc_id", "left_semi").select("doc_id", _hashes(F.col("text")).alias("h"))
-    checked = again.join(spans, "doc_id").join(items.select("item_id", F.col("h").alias("want")), "item_id")
-    hi = F.least(F.col("hi") + SPAN - 1, F.size("want") - 1, F.size("h") - 1 - F.col("diagonal"))
-    checked = checked.withColumn("places", F.filter(F.sequence(F.col("lo"), hi), lambda i: F.get("h", i + F.col("diagonal")) == F.get("want", i)))
-    # The stretch ends at its outermost matching tokens.
-    checked = checked.where(F.size("places") > 0).select("doc_id", "item_id", F.size("want").alias("want"), "places", (F.array_max("places") - F.array_min("places") + 1).alias("length"))
-    good = (F.col("length") >= F.least(F.lit(MIN_TOKENS), F.col("want"))) & (F.size("places") >= MIN_SHARE * F.col("length"))
-    pairs = checked.groupBy("doc_id", "item_id", "want").agg(F.max(good).alias("one"), F.max(F.size("places")).alias("matched"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("all"))
-    pairs = pairs.where(F.col("one") | (F.col("all") >= MIN_SHARE * F.col("want")))
-    return pairs.groupBy("doc_id").agg(F.lit(True).alias("contaminated"), F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("matched").cast("long").alias("matched_tokens"))
+    checked = again.join(spans, "doc_id").join(items.select("item_id", F.col("h").alias("item_h")), "item_id")
+    # The whole overlap of item and text on the diagonal, from the item's place `start` on, as whether each token is equal.
+    start, want = F.greatest(F.lit(0), -F.col("diagonal")), F.size("item_h")
+    end = F.least(want, F.size("h") - F.col("diagonal"))
+    equal = F.transform(F.sequence(start, end - 1), lambda i: F.coalesce(F.get("h", i + F.col("diagonal")) == F.get("item_h", i), F.lit(False)))
+    checked = checked.select("doc_id", "item_id", want.alias("want"), start.alias("start"), (F.col("lo") - start).alias("lo"), F.least(F.col("hi") + SPAN, end).alias("hi"), equal.alias("equal"))
+    checked = checked.withColumn("hi", F.col("hi") - F.col("start")).withColumn("sums", _sums(F.col("equal")))
+    checked = checked.withColumn("best", _best(F.col("sums"), F.least(F.lit(MIN_TOKENS), F.col("want")))).withColumn("places", _places())
+    pairs = checked.groupBy("doc_id", "item_id", "want").agg(F.max("best").alias("best"), F.max(F.size("places")).alias("near"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("all"))
+    pairs = pairs.where((F.col("best") > 0) | (F.col("all") >= MIN_SHARE * F.col("want")))
+    matched = F.when(F.col("best") > 0, F.col("best")).otherwise(F.col("near"))
+    return pairs.groupBy("doc_id").agg(F.lit(True).alias("contaminated"), F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max(matched).cast("long").alias("matched_tokens"))
