@@ -30,8 +30,8 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 _SKIP = frozenset("script style title textarea head nav header footer aside form noscript template iframe button select option dialog svg canvas object video audio menu noembed noframes xmp".split())
 _BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
-#: Elements that carry an article's own words; inside an article they are never template, however often they recur.
-_PROSE = frozenset("html body article main p h1 h2 h3 h4 h5 h6 li dd dt td th tr tbody thead blockquote pre br".split())
+#: Elements that hold a page's or an article's whole text and are never template themselves; all blocks in them can be.
+_WHOLE = frozenset("html body article main".split())
 _ENDS_P = _BLOCK - {"br", "body", "html"}
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _NOISE = re.compile(r"^(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|aside|footer|header|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|share|sharing|social|related|recommended|more|widget|comments?|commentlist|disqus|replies|reply|respond|pagination|pager|skip|toolbar|copyright|legal|disclaimer|login|search)$")
@@ -55,7 +55,7 @@ class _Node:
 
     def __init__(self, tag: str, digest: xxhash.xxh3_64, skip: bool, article: bool, number: int):
         self.tag, self.digest, self.skip, self.article, self.number = tag, digest, skip, article, number
-        self.part = tag in _BLOCK and tag not in (_PROSE if article else ("html", "body", "main"))  # can be template
+        self.part = tag in _BLOCK and tag not in _WHOLE  # can be template
 
 
 def parse(page: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
@@ -144,8 +144,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append([b[0] for b in blocks])
                 articles.append([b[1] for b in blocks])
                 trees.append([np.array([hashes[k] for k in b[2]], np.uint64).view(np.int64).tolist() for b in blocks])
-            own = [part.column(c) for c in ("page_id", "url", "host", "page")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.list_(pa.string())), pa.array(articles, pa.list_(pa.bool_())), pa.array(trees, pa.list_(pa.list_(pa.int64())))], names=["page_id", "url", "host", "page", "texts", "articles", "trees"])
+            own = [part.column(c) for c in ("page_id", "url", "host")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.list_(pa.string())), pa.array(articles, pa.list_(pa.bool_())), pa.array(trees, pa.list_(pa.list_(pa.int64())))], names=["page_id", "url", "host", "texts", "articles", "trees"])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -153,14 +153,16 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Character references are decoded, white space in a block becomes one space, blocks are trimmed and joined in page order by one space. A
     null or empty page has an empty text. A null url is a host of its own; null and repeated ids are kept, a result for each row, and
-    equal pages of one host count as one page. Columns besides these are not read. An empty table gives no rows.
+    pages of one host with the same blocks of text count as one page. Paragraphs, headings, list items and table cells of an article that recur
+    like template are deleted like template. Columns besides these are not read. An empty table gives no rows.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.xxhash64(html_col).alias("page"), whole_text(html_col).alias("html"))
-    parsed = written(rows.mapInArrow(_parsed, "page_id long, url string, host string, page long, texts array<string>, articles array<boolean>, trees array<array<long>>"), "parsed")
-    total = parsed.groupBy("host").agg(F.count_distinct("page").alias("total"))
-    # Only subtrees that hold text matter, once a page; copies of a whole page count once, or a mirrored page would be its own template.
-    trees = parsed.select("host", "page", F.explode(F.array_distinct(F.flatten("trees"))).alias("tree")).groupBy("host", "tree").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= MIN_PAGES)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), whole_text(html_col).alias("html"))
+    parsed = written(rows.mapInArrow(_parsed, "page_id long, url string, host string, texts array<string>, articles array<boolean>, trees array<array<long>>"), "parsed")
+    # Only subtrees that hold text matter, once a page; pages with the same blocks count once, or a mirrored article would be its own template.
+    counted = parsed.select("host", F.xxhash64("texts").alias("page"), "trees")
+    total = counted.groupBy("host").agg(F.count_distinct("page").alias("total"))
+    trees = counted.select("host", "page", F.explode(F.array_distinct(F.flatten("trees"))).alias("tree")).groupBy("host", "tree").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= MIN_PAGES)
     common = written(trees.join(total, "host").where(F.col("n") >= RATIO * F.col("total")).select("host", "tree"), "template")
     few = common.limit(BROADCAST_TREES + 1).count() <= BROADCAST_TREES
     # A host has at most (mean subtrees of its pages) / RATIO of them.
