@@ -249,6 +249,17 @@ def results_pivot(spark, d):
     return wide.select("model", "target", *[F.when(F.col(str(k)).isNull(), "n/a").otherwise(F.format_string("%.4f", F.col(str(k)))).alias(f"m{k}") for k in (1, 2, 3)])
 
 
+@query(f"WITH {RUNS} SELECT model, target, m, round(median(mae), 6) med, min(mae) lo, max(mae) hi, count(*) n FROM runs GROUP BY model, target, m")
+def median_min_max_whole(spark, d):
+    return runs(spark, d).groupBy("model", "target", "m").agg(F.round(F.median("mae"), 6).alias("med"), F.min("mae").alias("lo"), F.max("mae").alias("hi"), F.count("*").alias("n"))
+
+
+@query(f"WITH {RUNS}, {_CELL} SELECT model, target, " + ", ".join(f"coalesce(printf('%.4f', max(med) FILTER (m = {k})), 'n/a') m{k}" for k in range(1, 8)) + " FROM cell GROUP BY model, target")
+def results_pivot_whole(spark, d):
+    wide = _cells(spark, d).groupBy("model", "target").pivot("m", list(range(1, 8))).agg(F.first("med"))
+    return wide.select("model", "target", *[F.when(F.col(str(k)).isNull(), "n/a").otherwise(F.format_string("%.4f", F.col(str(k)))).alias(f"m{k}") for k in range(1, 8)])
+
+
 @query(f"WITH {RUNS}, {_CELL} SELECT model, target, m, med <= min(med) OVER (PARTITION BY target, m) + 1e-9 best FROM cell")
 def best_per_column(spark, d):
     return _cells(spark, d).select("model", "target", "m", (F.col("med") <= F.min("med").over(Window.partitionBy("target", "m")) + 1e-9).alias("best"))
