@@ -78,8 +78,11 @@ def _sums(of: Callable[[pa.RecordBatch], np.ndarray]) -> Callable:
     return task
 
 
-def summed(rows: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray | None:
-    """Sum of a fixed-size array over all rows: per partition, then per group of partitions, then on the driver."""
-    parts = rows.mapInArrow(_sums(of), "total binary")
+def summed(rows: DataFrame, of: Callable, whole: bool = False) -> np.ndarray | None:
+    """Sum of a fixed-size array over all rows: per partition, then per group of partitions, then on the driver.
+
+    of: an array from a batch or, with whole, rows (total binary) of little-endian doubles from all batches of a task.
+    """
+    parts = rows.mapInArrow(of if whole else _sums(of), "total binary")
     found = parts.repartition(GROUPS).mapInArrow(_sums(lambda b: np.sum([np.frombuffer(x, "<f8") for x in b.column("total").to_pylist()], axis=0)), "total binary").collect()
     return np.sum([np.frombuffer(r["total"], "<f8") for r in found], axis=0) if found else None
