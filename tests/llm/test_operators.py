@@ -46,11 +46,11 @@ def test_token_store_round_trip(spark, tmp_path):
 
     path = tokenizer_file("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    rows = [(i, t) for i, t in ODD if i != 5] + [(7, "it's  John's “é,é”!! 12,34\n\nx")]
+    rows = [(i, t) for i, t in ODD if i != 5] + [(None, "no id"), (7, "it's  John's “é,é”!! 12,34\n\nx")]
     root = f"file://{tmp_path}/store"
-    found = token_store.read_store(token_store.write_store(spark.createDataFrame(rows, DOC), root, path, "byte", 2), root).orderBy("doc_id").collect()
+    found = token_store.read_store(token_store.write_store(spark.createDataFrame(rows, DOC), root, path, "byte", 2), root).orderBy("start").collect()
     start = 0
-    for r, (i, t) in zip(found, sorted(rows), strict=True):
+    for r, (i, t) in zip(found, sorted(rows, key=lambda r: (r[0] is not None, r[0])), strict=True):
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
         assert (r["doc_id"], r["start"], r["n_tokens"]) == (i, start, len(ids))
         assert zlib.crc32(r["ids"]) == zlib.crc32(np.array(ids, "<u4").tobytes())
@@ -60,7 +60,10 @@ def test_token_store_round_trip(spark, tmp_path):
 def test_elias_fano_select():
     values = np.cumsum(np.random.default_rng(1).integers(0, 900, 2000))
     ef = token_store.EliasFano.of(values)
-    assert np.array_equal(ef.all(), values) and [ef.get(k) for k in range(0, 2000, 37)] == values[::37].tolist()
+    assert [ef.get(k) for k in range(0, 2000, 37)] == values[::37].tolist()
+    for a, b in ((0, 2000), (0, 1), (255, 257), (256, 512), (700, 1999), (5, 5)):
+        assert ef.some(a, b).tolist() == values[a:b].tolist()
+    assert all(ef.below(x) == np.searchsorted(values, x, side="right") for x in (0, 5, 400_000, int(values[-1])))
 
 
 def test_packing(spark):

@@ -2,8 +2,10 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
+from walkloom.llm import tokens
 from walkloom.llm.tokens import encode
 
 P = pytest.importorskip("public_tokenizers")
@@ -16,5 +18,16 @@ def test_same_ids_as_the_whole_text(kind, name):
 
     rng, plain = random.Random(5), Tokenizer.from_file(P.path(name))
     texts = ["", "a" * 5000 + "1", "!" * 5000 + "x", *("".join(rng.choices(PARTS, k=rng.randint(0, 40))) for _ in range(2000))]
-    for text, ids in zip(texts, encode(P.path(name), kind, texts), strict=True):
-        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    for some in (texts[:3], texts[3:], [None, "", *texts[5:9]], []):
+        ids, at = encode(P.path(name), kind, pa.array(some, pa.string()))
+        assert len(at) == len(some) + 1 and at[-1] == len(ids)
+        for k, text in enumerate(some):
+            assert ids[at[k] : at[k + 1]].tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_the_cache_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "_MOST", 1 << 16)
+    path = P.path("byte_bpe_50k.json")
+    for k in range(30):
+        tokens.encode(path, "byte", pa.array([" ".join(f"w{k}x{j}y" for j in range(200)) + " " + "q" * 100_000]))
+        assert tokens._loaded[path].used() < (1 << 16) + 200_000

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import whole_text, written
 from .textkit import slices
-from .tokens import encode
+from .tokens import SLICE, encode, with_ends
 
 CAPACITY = 4096
 #: Tokens in a length class of the program; exact lengths return when it is rounded.
@@ -157,15 +157,15 @@ def _places(configs: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, i
 def _pieces(tokenizer: str, kind: str, end_id: int, capacity: int) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                out: list[tuple[int | None, int, int, int, bytes]] = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(tokenizer, kind, part.column("text").to_pylist()), strict=True):
-                    ids = np.append(ids, np.uint32(end_id))
-                    for k, at in enumerate(range(0, len(ids), capacity)):
-                        cut = ids[at : at + capacity]
-                        out.append((doc, k, at, len(cut), cut.astype("<u4").tobytes()))
-                doc, k, at, n, ids = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(k, pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+            for part in slices(batch, "text", SLICE):
+                ids, at = with_ends(*encode(tokenizer, kind, part.column("text")), end_id)
+                pieces = -(-np.diff(at) // capacity)
+                doc = np.repeat(np.arange(part.num_rows), pieces)
+                number = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = number * capacity
+                cuts = np.append(at[doc] + start, at[-1])
+                ids = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((cuts * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(np.diff(cuts)), ids], names=["doc_id", "piece", "start", "length", "ids"])
 
     return task
 

@@ -14,6 +14,7 @@ _GAP = U(0x5851F42D4C957F2D)
 _tables: dict[str, np.ndarray] = {}
 _is_space = np.zeros(256, bool)
 _is_space[[0x20, *range(0x09, 0x0E)]] = True
+_exact = np.arange(1, 257, dtype=np.uint64)
 _lower = np.arange(256, dtype=np.uint64)
 _lower[ord("A") : ord("Z") + 1] += U(32)
 _lower += U(1)
@@ -81,11 +82,11 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return begin, end, np.searchsorted(begin, at)
 
 
-def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the bytes (A-Z lowered) from each begin to its end."""
+def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of the bytes (A-Z lowered, if asked for) from each begin to its end."""
     up, down = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_lower[raw] * up[: len(raw)], out=sums[1:])
+    np.cumsum((_lower if lower else _exact)[raw] * up[: len(raw)], out=sums[1:])
     return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * _GAP)
 
 

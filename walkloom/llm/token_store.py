@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import whole_text, written
 from .textkit import slices
-from .tokens import encode
+from .tokens import SLICE, encode, with_ends
 
 _HEAD = "<4sBBHQQQQII"
 _EVERY = 256
+#: Stands for a null document id in a shard.
+NO_ID = -(1 << 63)
 _MANIFEST = "shard int, path string, docs long, ids long"
 
 
@@ -63,33 +65,48 @@ class EliasFano:
         bits = (self.low[at // 8] >> (at % 8).astype(np.uint8)) & 1
         return ((one - k) << self.low_bits) | int((bits.astype(np.int64) << np.arange(self.low_bits)).sum())
 
-    def all(self) -> np.ndarray:
-        """Every value, in one pass."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        return ((ones - np.arange(self.n)) << self.low_bits) | (bits << np.arange(self.low_bits)).sum(axis=1)
+    def some(self, first: int, last: int) -> np.ndarray:
+        """The values from the first-th to before the last-th, by selects on the high bits of that stretch alone."""
+        if first >= last:
+            return np.zeros(0, np.int64)
+        head = first // _EVERY
+        byte, rest = int(self.directory[head]) // 8, first - head * _EVERY
+        stop = min(len(self.high), int(self.directory[-(-last // _EVERY)]) // 8 + 1) if -(-last // _EVERY) < len(self.directory) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[byte:stop], bitorder="little")) + byte * 8
+        rest += int(np.searchsorted(ones, int(self.directory[head])))
+        k = np.arange(first, last)
+        at = k[:, None] * self.low_bits + np.arange(self.low_bits)
+        bits = ((self.low[at // 8] >> (at % 8).astype(np.uint8)) & 1).astype(np.int64)
+        return ((ones[rest : rest + last - first] - k) << self.low_bits) | (bits << np.arange(self.low_bits)).sum(axis=1)
+
+    def below(self, value: int) -> int:
+        """How many values are at most `value`: a binary search by select."""
+        lo, hi = 0, self.n
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if self.get(mid) <= value else (lo, mid)
+        return lo
 
 
 def _write(root: str, tokenizer: str, kind: str, end_id: int, id_bytes: int) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, ends, parts, shard, total = [], [], [], 0, 0
-        for some in (x for batch in batches for x in slices(batch, "text")):
+        docs, sizes, parts, shard = [], [], [], 0
+        for some in (x for batch in batches for x in slices(batch, "text", SLICE)):
             shard = some.column("part")[0].as_py()
-            for doc, ids in zip(some.column("doc_id").to_pylist(), encode(tokenizer, kind, some.column("text").to_pylist()), strict=True):
-                ids = np.append(ids, np.uint32(end_id))
-                total += len(ids)
-                docs.append(doc)
-                ends.append(total)
-                parts.append(ids.astype(f"<u{id_bytes}").tobytes())
+            ids, at = with_ends(*encode(tokenizer, kind, some.column("text")), end_id)
+            docs.append(some.column("doc_id").fill_null(NO_ID).to_numpy())
+            sizes.append(np.diff(at))
+            parts.append(ids.astype(f"<u{id_bytes}").tobytes())
         if not docs:
             return
-        ef = EliasFano.of(np.array(ends, np.int64))
+        docs, ends = np.concatenate(docs), np.cumsum(np.concatenate(sizes))
+        ef, total = EliasFano.of(ends), int(ends[-1])
         store, base = fs.FileSystem.from_uri(root)
         path = f"{base}/shard-{shard:06d}-{uuid.uuid4().hex}.wlt"  # a retried task writes a file of its own; the manifest names one
         store.create_dir(base, recursive=True)
         with store.open_output_stream(path) as out:
             out.write(struct.pack(_HEAD, b"WLT1", id_bytes, ef.low_bits, 0, len(docs), total, len(ef.high), len(ef.low), len(ef.directory), 0))
-            for x in (np.array(docs, "<i8"), ef.directory.astype("<u4"), ef.low, ef.high):
+            for x in (docs.astype("<i8"), ef.directory.astype("<u4"), ef.low, ef.high):
                 out.write(x.tobytes())
             for x in parts:
                 out.write(x)
@@ -122,12 +139,11 @@ class Shard:
 def write_store(docs: DataFrame, root: str, tokenizer: str, kind: str, end_id: int, id_bytes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write shards under root; the manifest: shard, path, docs, ids, base (ids of all earlier shards), as a table.
 
-    Texts are encoded whole, a null text as an empty one, and each is followed by end_id. Rows with a null id can't be addressed and
-    raise an error. Rows that repeat an id are all written, the shorter text first. Columns besides id and text are not read. An empty
-    table writes no shard.
+    Texts are encoded whole, a null text as an empty one, and each is followed by end_id. Rows with a null id come first, under the
+    smallest 64-bit number, and are read back with a null id. Rows that repeat an id are all written, the shorter text first. Columns besides
+    id and text are not read. An empty table writes no shard.
     """
-    doc = F.when(F.col(id_col).isNull(), F.raise_error(F.lit("a document without id can't be stored"))).otherwise(F.col(id_col).cast("long"))
-    rows = docs.select(doc.alias("doc_id"), whole_text(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
     found = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_write(root, tokenizer, kind, end_id, id_bytes), _MANIFEST)
@@ -143,15 +159,16 @@ def read_store(manifest: DataFrame, root: str) -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 shard = Shard(root, path)
-                ends = shard.ends.all()
-                begins = np.concatenate(([0], ends[:-1]))
-                at = 0
+                at, begin = 0, 0
                 while at < shard.n:  # about a million ids at a time, one document at least
-                    to = max(at + 1, int(np.searchsorted(ends, begins[at] + (1 << 20), side="right")))
-                    ids = shard.read(int(begins[at]), int(ends[to - 1]))
-                    cuts = (np.concatenate((begins[at:to], ends[to - 1 : to])) - begins[at]) * 4
-                    yield pa.RecordBatch.from_arrays([pa.array(shard.docs[at:to]), pa.array(begins[at:to] + base), pa.array(ends[at:to] - begins[at:to]), pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(ids)])], names=["doc_id", "start", "n_tokens", "ids"])
-                    at = to
+                    to = max(at + 1, shard.ends.below(begin + (1 << 20)))
+                    ends = shard.ends.some(at, to)
+                    begins = np.concatenate(([begin], ends[:-1]))
+                    ids = shard.read(begin, int(ends[-1]))
+                    cuts = (np.concatenate((begins, ends[-1:])) - begin) * 4
+                    docs = pa.array(shard.docs[at:to], mask=shard.docs[at:to] == NO_ID)
+                    yield pa.RecordBatch.from_arrays([docs, pa.array(begins + base), pa.array(ends - begins), pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(ids)])], names=["doc_id", "start", "n_tokens", "ids"])
+                    at, begin = to, int(ends[-1])
 
     shards = manifest.select("shard", "path", "base").repartitionByRange(max(1, min(manifest.count(), 4096)), "shard")
     return shards.mapInArrow(task, "doc_id long, start long, n_tokens long, ids binary")
