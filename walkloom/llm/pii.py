@@ -25,13 +25,13 @@ _BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\(\[](?:at|AT)[\)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[\(\[](?:dot|DOT)[\)\]]) ?[A-Za-z0-9-]++)+",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9./])[0-9]{4}([./])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9./])",
-    "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9.-]?[0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\(\[](?:at|AT)[\)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[\(\[](?:dot|DOT)[\)\]]) ?[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9A-Za-z.+-])(?:[0-9]{15,16}|[0-9]{4}([ ./-])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])",
+    "phone": r"(?<![0-9+.-])(?:\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}|00[1-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){3,4})(?![0-9.-]?[0-9])",
 }
 #: What a text must hold before the costlier patterns are tried.
-_HINT = {("email", 0): "@", ("ip", 0): r"[0-9]\.[0-9]", ("card", 0): "[0-9]", ("phone", 0): r"\+[0-9]", ("email", 1): r"[\(\[](?:at|AT)[\)\]]", ("ip", 1): "[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", ("card", 1): "[0-9]{4}[./][0-9]{4}", ("phone", 1): "[0-9]{3}[ .-][0-9]{4}"}
+_HINT = {("email", 0): "@", ("ip", 0): r"[0-9]\.[0-9]", ("card", 0): "[0-9]", ("phone", 0): r"\+[0-9]", ("email", 1): r"[\(\[](?:at|AT)[\)\]]", ("ip", 1): "[0-9A-Fa-f]:(?::|[0-9A-Fa-f]{1,4}:)", ("card", 1): "[0-9]{4}[ ./-]?[0-9]{4}", ("phone", 1): "[0-9]{3}[ .-][0-9]{4}|00[1-9]"}
 # The most common top-level domains, calling codes, card issuers' first digits, and networks that name no person's host.
 _TLDS = "com|org|net|edu|gov|io|info|biz|co|me|us|uk|de|fr|es|it|nl|be|ch|at|eu|ca|au|jp|cn|in|br|mx|ru|pl|se|no|dk|fi|pt|ie|nz|kr|za|ar|cl"
 _CODES = r"(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
@@ -167,10 +167,14 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     span = F.struct("at", rank.alias("rank"), "end", "kind")
     per = voted.withColumn("base", F.col("ok") & (F.col("loose") == 0)).withColumn("more", F.col("ok") & (F.col("loose") == 1) & (_score(w) >= 0.5))
+    # A loose span that shares a character with a base span gives way: one pass forward for base spans before it, one backward for those after.
+    ahead, behind = Window.partitionBy("row").orderBy("at"), Window.partitionBy("row").orderBy(F.col("at").desc())
+    per = per.withColumn("upto", F.max(F.when(F.col("base"), F.col("end"))).over(ahead.rangeBetween(Window.unboundedPreceding, 0)))
+    per = per.withColumn("next", F.min(F.when(F.col("base"), F.col("at"))).over(behind.rangeBetween(Window.unboundedPreceding, 0)))
+    per = per.withColumn("more", F.col("more") & ~F.coalesce(F.col("upto") > F.col("at"), F.lit(False)) & ~F.coalesce(F.col("next") < F.col("end"), F.lit(False)))
     # A text's own length bounds its lists; a text without valid candidates keeps a row too.
     one = per.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.count_if(F.col("base") & (F.col("kind") == k)).alias(f"n_{k}") for k in KINDS], F.array_sort(F.collect_list(F.when(F.col("base"), span))).alias("base_spans"), F.collect_list(F.when(F.col("more"), span)).alias("more"))
-    free = F.filter("more", lambda x: ~F.exists("base_spans", lambda b: (b["at"] < x["end"]) & (x["at"] < b["end"])))
-    return one.select("doc_id", *[f"n_{k}" for k in KINDS], F.array_sort(F.concat("base_spans", free)).alias("spans"), "base_spans")
+    return one.select("doc_id", *[f"n_{k}" for k in KINDS], F.array_sort(F.concat("base_spans", "more")).alias("spans"), "base_spans")
 
 
 def joined(spans: str) -> F.Column:
