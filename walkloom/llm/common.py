@@ -57,6 +57,20 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, how)
 
 
+#: Parts among which the rows of each host are dealt when host lists are too many to broadcast.
+HOST_PARTS = 64
+
+
+def by_host(rows: DataFrame, lists: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """rows (host) with the columns of lists (at_host), null where a host has none. The lists are broadcast if they come from at most `most`
+    rows of found; else each host's rows are dealt among many keys and its list is repeated for them, as one host may hold most rows."""
+    if found.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(lists), F.col("host") == F.col("at_host"), "left")
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(HOST_PARTS))
+    spread = lists.withColumn("at_part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1)).cast("array<long>")))
+    return rows.withColumn("part", part).join(spread.hint("merge"), (F.col("host") == F.col("at_host")) & (F.col("part") == F.col("at_part")), "left")
+
+
 def whole_text(text: str) -> F.Column:
     return F.coalesce(F.col(text), F.lit(""))
 
