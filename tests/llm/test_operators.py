@@ -65,10 +65,21 @@ def test_elias_fano_select():
     assert all(ef.below(x) == np.searchsorted(values, x, side="right") for x in (0, 5, 400_000, int(values[-1])))
 
 
-def test_packing(spark):
-    rows = packing.pack(spark.createDataFrame(ODD, DOC), tokenizer_file("word_bpe_49k.json"), "word", 1, capacity=512).collect()
+def test_packing_equals_brute_force(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    rows = [(i, t, "x") for i, t in ODD] + [(None, "no id", "y"), (8, "one two three " * 900, "z")]
+    got = packing.pack(spark.createDataFrame(rows, f"{DOC}, piece string"), path, "word", 1, capacity=512).collect()
+    want = []
+    for i, t, _ in rows:
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 1]
+        want += [(i or 0, k, at, zlib.crc32(np.array(ids[at : at + 512], "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 512))]
+    assert sorted((r["doc_id"] or 0, r["piece"], r["start"], zlib.crc32(r["ids"])) for r in got) == sorted(want)
     bins: dict = {}
-    for r in rows:
+    for r in got:
+        assert len(r["ids"]) == 4 * r["length"]
         bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for places in bins.values():
         end = 0
@@ -76,7 +87,25 @@ def test_packing(spark):
             assert at == end
             end += n
         assert end <= 512
-    assert {r["doc_id"] for r in rows} == {i for i, _ in ODD}
+    sizes = [r["length"] for r in got]
+    assert len(bins) == sum(n for _, n in packing.best_fit({x: sizes.count(x) for x in set(sizes)}, 512))
+    assert packing.pack(spark.createDataFrame([], DOC), path, "word", 1).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_program_packs_no_worse_than_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    sizes = np.clip(np.exp(rng.normal(4.0 + seed / 3, 0.6 + seed / 5, 4000)).astype(int), 1, 512)
+    lengths = {int(x): int(n) for x, n in zip(*np.unique(sizes, return_counts=True), strict=True)}
+    ours, others = packing.programmed(lengths, 512)
+    held: dict = {}
+    for config, n in ours + others:
+        assert n > 0 and sum(x * a for x, a in config.items()) <= 512
+        for x, a in config.items():
+            held[x] = held.get(x, 0) + a * n
+    assert held == lengths
+    used = sum(n for _, n in ours + others)
+    assert -(-int(sizes.sum()) // 512) <= used <= sum(n for _, n in packing.best_fit(lengths, 512))
 
 
 def base_spans(text):

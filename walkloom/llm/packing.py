@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences by a configuration linear program over the length histogram.
 
-The program has a variable for each configuration (a multiset of length classes that fits a sequence). Multiplicative weights solve it
-approximately: each length class has a price that falls as its demand is covered, a knapsack dynamic program prices out the best
-configuration, and that configuration covers a further part of the demand. The solution is rounded down to whole sequences, what remains
+The program has a variable for each configuration (a multiset of lengths that fills a sequence). Multiplicative weights solve it
+approximately: each length has a price that falls as its demand is covered, a knapsack dynamic program over exact lengths prices out
+configurations near the best, and each covers a further part of the demand. The solution is rounded to whole sequences, what remains
 is packed best-fit decreasing, and every piece finds its place from its rank among the pieces of its length. Only the histogram (at most
 `capacity` numbers) and the plan (whose size the number of lengths and rounds bounds) are on the driver.
 """
@@ -24,61 +24,64 @@ from .textkit import slices
 from .tokens import SLICE, encode, with_ends
 
 CAPACITY = 4096
-#: Tokens in a length class of the program; exact lengths return when it is rounded.
-GRAIN = 8
-#: Share of a class's demand that one round covers at most, and how fast prices fall.
-STEP, FALL = 0.2, 8.0
-#: A configuration that fills less is not used; its largest class leaves the program for best-fit decreasing, which works with exact lengths.
-FULL = 0.98
-#: With exact lengths a configuration must fill this share, else its pieces go to best-fit decreasing too.
-EXACT = 0.994
-#: Ranks within a length are counted in so many parts, so that a length which most pieces share is counted by many tasks.
-PARTS = 64
-
-
-def _best(sizes: np.ndarray, prices: np.ndarray, room: int) -> dict[int, int]:
-    """Unbounded knapsack: how often the most valuable filling of `room` takes each size (its index)."""
-    value, took = np.zeros(room + 1), np.full(room + 1, -1)
+#: Rounds of pricing, configurations drawn from each round's table, and how far below the best price (as a share) a choice in one may be.
+ROUNDS, DRAWS, NEAR = 200, 48, 0.02
+#: Share of a length's demand that one configuration covers at most, and how fast prices fall.
+STEP, FALL = 0.25, 3.0
+#: Tokens that a configuration may leave free.
+SLACK = 2
+#: Pieces of one length are ranked in lots of at most about so many, so that a length which most pieces share is ranked by many tasks.
+LOT = 4000
+
+
+def _table(sizes: np.ndarray, prices: np.ndarray, room: int) -> np.ndarray:
+    """Unbounded knapsack: the highest price of sizes that add up to exactly 0, 1, ... room; minus infinity where none do."""
+    value = np.full(room + 1, -np.inf)
+    value[0] = 0
     upto = np.searchsorted(sizes, np.arange(room + 1), side="right")
     for c in range(1, room + 1):
         if upto[c]:
-            gain = value[c - sizes[: upto[c]]] + prices[: upto[c]]
-            k = int(gain.argmax())
-            if gain[k] > value[c - 1]:
-                value[c], took[c] = gain[k], k
-                continue
-        value[c] = value[c - 1]
+            value[c] = (value[c - sizes[: upto[c]]] + prices[: upto[c]]).max()
+    return value
+
+
+def _drawn(sizes: np.ndarray, prices: np.ndarray, value: np.ndarray, room: int, rng: np.random.Generator) -> Counter[int]:
+    """A configuration that fills `room` at nearly the highest price: how often it takes each size (its index)."""
     found: Counter[int] = Counter()
-    c = room
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            found[int(took[c])] += 1
-            c -= int(sizes[took[c]])
-    return dict(found)
+    near = NEAR * value[room]
+    while room:
+        n = int(np.searchsorted(sizes, room, side="right"))
+        gain = value[room - sizes[:n]] + prices[:n]
+        good = np.flatnonzero(gain >= gain.max() - near)
+        k = int(good[rng.integers(len(good))])
+        found[k] += 1
+        room -= int(sizes[k])
+    return found
 
 
 def fractional(demand: dict[int, int], room: int) -> list[tuple[dict[int, int], float]]:
-    """Configurations over classes (size: number of pieces) and how many sequences use each, covering the demand while they are full."""
+    """Configurations over lengths (length: number of pieces) and how many sequences use each, covering the demand while they are full."""
     sizes = np.array(sorted(demand))
     need = np.array([demand[s] for s in sizes], float)
-    covered, used, open_ = np.zeros(len(sizes)), {}, np.ones(len(sizes), bool)
-    while True:
-        left = open_ & (covered < 1)
-        if not left.any():
+    covered, used, rng = np.zeros(len(sizes)), {}, np.random.default_rng(3)
+    for _ in range(ROUNDS):
+        left = np.flatnonzero(covered < 1)
+        if not len(left):
             break
-        prices = np.where(left, np.exp(-FALL * (covered - covered.min())) / need, 0.0)
-        took = _best(sizes, prices, room)
-        if sum(int(sizes[k]) * a for k, a in took.items()) < FULL * room:
-            open_[max(took)] = False  # nothing is left that completes it
-            continue
-        n = STEP * min(need[k] / a for k, a in took.items())
-        for k, a in took.items():
-            covered[k] += a * n / need[k]
-        key = tuple(sorted(took.items()))
-        used[key] = used.get(key, 0.0) + n
-    return [({int(sizes[k]): a for k, a in key}, n) for key, n in used.items()]
+        own, low = sizes[left], covered[left].min()
+        prices = own * np.exp(-FALL * (covered[left] - low))
+        value = _table(own, prices, room)
+        full = next((c for c in range(room, room - SLACK - 1, -1) if np.isfinite(value[c])), None)
+        if full is None:
+            break  # nothing that is left fills a sequence
+        for _ in range(DRAWS):
+            took = _drawn(own, prices, value, full, rng)
+            n = STEP * min(need[left[k]] / a for k, a in took.items())
+            for k, a in took.items():
+                covered[left[k]] += a * n / need[left[k]]
+            key = tuple(sorted((int(own[k]), a) for k, a in took.items()))
+            used[key] = used.get(key, 0.0) + n
+    return [(dict(key), n) for key, n in used.items()]
 
 
 def best_fit(lengths: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -102,42 +105,42 @@ def best_fit(lengths: dict[int, int], capacity: int) -> list[tuple[dict[int, int
     return [(dict(key), n) for key, n in Counter(tuple(sorted(b.items())) for b in bins).items()]
 
 
-def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Configurations over exact lengths and how many sequences use each; together they hold every piece exactly once."""
+def rounded(lengths: dict[int, int], amounts: list[tuple[dict[int, int], float]], share: float) -> list[tuple[dict[int, int], int]]:
+    """Whole numbers of sequences for a share of the configurations, the most used first, as far as there are pieces for them."""
     left, out = Counter(lengths), []
-    classes: dict[int, list[int]] = {}
-    for length in sorted(lengths):
-        classes.setdefault(-(-length // GRAIN), []).append(length)
-    room = capacity // GRAIN
-    demand = {c: sum(lengths[x] for x in xs) for c, xs in classes.items() if c <= room}
-    for config, amount in sorted(fractional(demand, room), key=lambda x: -x[1]) if demand else []:
-        n = min([math.floor(amount + 1e-9), *(sum(left[x] for x in classes[c]) // a for c, a in config.items())])
-        if n < 1:
-            continue
-        # Each place of the configuration takes the class's next n pieces by length; where a length ends, a new exact configuration begins.
-        columns = []
-        for c, a in config.items():
-            for _ in range(a):
-                column, want = [], n
-                for x in classes[c]:
-                    if want and (k := min(want, left[x])):
-                        column.append((x, k))
-                        left[x] -= k
-                        want -= k
-                columns.append(column)
-        cuts = sorted({e for col in columns for e in np.cumsum([k for _, k in col]).tolist()})
-        begin = 0
-        for end in cuts:
-            exact: Counter[int] = Counter()
-            for col in columns:
-                at = int(np.searchsorted(np.cumsum([k for _, k in col]), begin, side="right"))
-                exact[col[at][0]] += 1
-            if sum(x * a for x, a in exact.items()) >= EXACT * capacity:
-                out.append((dict(exact), end - begin))
-            else:
-                left.update({x: a * (end - begin) for x, a in exact.items()})
-            begin = end
-    return out + best_fit({x: n for x, n in left.items() if n}, capacity)
+    for config, amount in sorted(amounts, key=lambda x: -x[1])[: math.ceil(share * len(amounts))]:
+        n = min(max(1, round(amount)), *(left[x] // a for x, a in config.items()))
+        if n:
+            out.append((config, n))
+            for x, a in config.items():
+                left[x] -= a * n
+    return out
+
+
+def programmed(lengths: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], int]], list[tuple[dict[int, int], int]]]:
+    """The program's configurations over lengths, and those of the pieces that are left; together they hold every piece exactly once.
+
+    Should they need more sequences than best-fit decreasing alone (rounding can cost one), fewer of the program's are used.
+    """
+    whole = [({capacity: 1}, lengths[capacity])] if lengths.get(capacity) else []
+    rest = {x: n for x, n in lengths.items() if n and x < capacity}
+    most = sum(n for _, n in best_fit(rest, capacity))
+    amounts = fractional(rest, capacity) if rest else []
+    for share in (1.0, 0.9, 0.75, 0.5, 0.25):
+        ours = rounded(rest, amounts, share)
+        left = Counter(rest)
+        for config, n in ours:
+            left.subtract({x: a * n for x, a in config.items()})
+        more = best_fit({x: n for x, n in left.items() if n}, capacity)
+        if sum(n for _, n in ours) + sum(n for _, n in more) <= most:
+            return ours, whole + more
+    return [], whole + best_fit(rest, capacity)
+
+
+def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """Configurations over lengths and how many sequences use each; together they hold every piece exactly once."""
+    ours, others = programmed(lengths, capacity)
+    return ours + others
 
 
 def _places(configs: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -179,8 +182,8 @@ def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     pieces = written(texts.mapInArrow(_pieces(tokenizer, kind, end_id, capacity), "doc_id long, piece int, start long, length long, ids binary"), "pieces")
-    pieces = pieces.withColumn("lot", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)))
-    counts = written(pieces.groupBy("length", "lot").count(), "counts")  # at most capacity * PARTS rows
+    pieces = pieces.withColumn("lot", F.pmod(F.xxhash64("doc_id", "piece", F.crc32("ids")), F.lit(max(16, pieces.count() // LOT))))
+    counts = written(pieces.groupBy("length", "lot").count(), "counts")
     before = Window.partitionBy("length").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.select("length", "lot", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
     lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most capacity rows
