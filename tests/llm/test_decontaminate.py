@@ -37,3 +37,15 @@ def test_any_run_counts(spark):
     texts = [[w if rng.random() > rng.choice((0.2, 0.3, 0.45)) else f"own{k}" for k, w in enumerate(item)] for _ in range(300)]
     want = {k: n for k, t in enumerate(texts) if (n := brute(t, item))}
     assert 50 < len(want) < 290 and found(spark, texts, item) == want
+
+
+def test_short_items_and_odd_rows(spark, monkeypatch):
+    items = [(1, "alpha beta gamma"), (2, "one two three four five six seven"), (3, None), (4, ""), (None, "x y z"), (5, " ".join(ITEM))]
+    docs = [(1, "so Alpha  beta\tGamma it is", "a"), (2, "alpha gamma beta", "b"), (3, "zero one two three four five six seven eight", "c"), (4, "one two three FOUR five six eight", "d"), (None, " ".join(ITEM), "e"), (6, None, "f"), (7, "", "g"), (8, "w " * 100_000 + " ".join(ITEM) + " v" * 100_000, "h"), (8, "alpha beta gamma", "i")]
+    left = spark.createDataFrame(docs, f"{DOC}, item_id string")
+    right = spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontaminate.BROADCAST_SEEDS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", most)
+        got = {r["doc_id"]: (r["item_ids"], r["matched_tokens"]) for r in decontaminate.contaminated(left, right).collect()}
+        assert got == {1: ([1], 3), 3: ([2], 7), 8: ([1, 5], 55)}
+    assert decontaminate.contaminated(left.limit(0), right).count() == 0 and decontaminate.contaminated(left, right.limit(0)).count() == 0

@@ -6,7 +6,7 @@ import re
 import pytest
 
 pytest.importorskip("walkloom.llm")
-from walkloom.llm import near_dedup  # noqa: E402
+from walkloom.llm import common, near_dedup  # noqa: E402
 
 
 def brute(rows):
@@ -54,8 +54,11 @@ def hot_rows(n, seed):
     return rows
 
 
-def test_large_group_of_near_copies(spark):
-    rows = hot_rows(150, 1)
+@pytest.mark.parametrize("least", [256, 4])
+def test_large_group_of_near_copies(spark, monkeypatch, least):
+    """least: rows from which a key counts as hot, so that both ways of joining are taken."""
+    monkeypatch.setattr(common, "HOT_ROWS", least)
+    rows = [*hot_rows(150, 1), *((1000 + k, "one text with many copies of its own") for k in range(30)), *((2000 + k, "") for k in range(30))]
     rng = random.Random(2)
     rng.shuffle(rows)
     got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()

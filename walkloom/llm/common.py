@@ -62,13 +62,35 @@ HOST_PARTS = 64
 
 
 def by_host(rows: DataFrame, lists: DataFrame, found: DataFrame, most: int) -> DataFrame:
-    """rows (host) with the columns of lists (at_host), null where a host has none. The lists are broadcast if they come from at most `most`
-    rows of found; else each host's rows are dealt among many keys and its list is repeated for them, as one host may hold most rows."""
+    """rows (__host) with the columns of lists (__at_host), null where a host has none. The lists are broadcast if they come from at most
+    `most` rows of found; else each host's rows are dealt among many keys and its list is repeated for them, as one host may hold most rows."""
     if found.limit(most + 1).count() <= most:
-        return rows.join(F.broadcast(lists), F.col("host") == F.col("at_host"), "left")
+        return rows.join(F.broadcast(lists), F.col("__host") == F.col("__at_host"), "left")
     part = F.pmod(F.monotonically_increasing_id(), F.lit(HOST_PARTS))
-    spread = lists.withColumn("at_part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1)).cast("array<long>")))
-    return rows.withColumn("part", part).join(spread.hint("merge"), (F.col("host") == F.col("at_host")) & (F.col("part") == F.col("at_part")), "left")
+    spread = lists.withColumn("__at_part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1)).cast("array<long>")))
+    return rows.withColumn("__part", part).join(spread.hint("merge"), (F.col("__host") == F.col("__at_host")) & (F.col("__part") == F.col("__at_part")), "left")
+
+
+#: A key with more rows than the first and than this share of all is hot; so there are never more hot keys than the second.
+HOT_ROWS, HOT_KEYS = 256, 20_000
+
+
+def hot_bound(rows: int) -> int:
+    return max(HOT_ROWS, rows // HOT_KEYS)
+
+
+def unskewed(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """Join with a table of one row for each key. Hot keys of left (given, or counted here) are at most HOT_KEYS, so their rows of
+    right are broadcast; all other keys shuffle. left should be a written table, as it is read for both."""
+    if hot is None:
+        hot = left.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_bound(left.count())).where(" and ".join(f"`{k}` is not null" for k in keys))
+    hot = written(hot.select(*keys), "hot")
+    if hot.isEmpty():
+        return left.join(right.hint("merge"), keys, how)
+    marked = left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
+    few = right.join(F.broadcast(hot), keys, "left_semi")
+    a = marked.where("__hot").drop("__hot").join(F.broadcast(few), keys, how)
+    return a.unionByName(marked.where("__hot is null").drop("__hot").join(right.hint("merge"), keys, how))
 
 
 def whole_text(text: str) -> F.Column:

@@ -17,8 +17,10 @@ MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 5, 6, 8), (0, 2, 3, 4, 7, 8))
 SPAN = 9
 #: A verified stretch has this many tokens at least (or the whole item, if shorter), of which this share matches.
 MIN_TOKENS, MIN_SHARE = 13, 0.75
-#: Items with fewer tokens than this are too short to tell a leak from common speech and are not searched.
+#: Items with fewer tokens than this have no place for the masks; they match where the whole item stands.
 MIN_ITEM = 8
+#: Parts among which a seed's texts are dealt where seeds are too many to broadcast, as many texts may share a passage.
+PARTS = 16
 #: Test seeds are broadcast only up to this many rows; beyond, both sides shuffle by hash.
 BROADCAST_SEEDS = 600_000
 
@@ -29,11 +31,12 @@ def _hashes(text: F.Column) -> F.Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, id_col: str) -> DataFrame:
-    """id, pos, mask, hash: a row for each mask at each position where the mask fits."""
-    n = F.size("h")
-    at = rows.where(n >= SPAN - 2).select(id_col, "h", F.explode(F.sequence(F.lit(0), n - SPAN + 2)).alias("pos"))
-    own = [F.struct(F.lit(m).alias("mask"), F.when(F.col("pos") + mask[-1] < F.size("h"), F.xxhash64(*[F.get("h", F.col("pos") + k) for k in mask])).alias("hash")) for m, mask in enumerate(MASKS)]
+def _seeds(rows: DataFrame, id_col: str, masks: dict[int, tuple[int, ...]]) -> DataFrame:
+    """id, pos, mask, hash: a row for each mask at each position where the mask fits. The hashes that follow a position stand beside it before
+    positions become rows, so that no row carries its whole text."""
+    ahead = F.arrays_zip(*[F.slice("h", k + 1, F.size("h")).alias(f"h{k}") for k in range(SPAN)])
+    at = rows.select(id_col, F.posexplode(ahead).alias("pos", "w"))
+    own = [F.struct(F.lit(m).alias("mask"), F.when(F.col(f"w.h{mask[-1]}").isNotNull(), F.xxhash64(*[F.col(f"w.h{k}") for k in mask])).alias("hash")) for m, mask in masks.items()]
     return at.select(id_col, "pos", F.explode(F.array(*own)).alias("s")).select(id_col, "pos", "s.mask", "s.hash").where("hash is not null")
 
 
@@ -70,16 +73,26 @@ def contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text
 
     A document is contaminated by an item if on one diagonal that a seed hits any run of at least 13 tokens (or the whole of a shorter
     item) has 75 % of its tokens equal, or if stretches around the hits of several diagonals (tokens inserted or lost) together match 75 %
-    of the item. matched_tokens are the equal tokens of the longest such run, or of the best stretch where only several do together. Null or
-    empty texts, and items under 8 words, match nothing; rows with a null id are not reported; repeated ids are reported once.
+    of the item. matched_tokens are the equal tokens of the longest such run, or of the best stretch where only several do together. An item under
+    8 tokens matches where it stands as a whole. Null or empty texts and items match nothing; rows with a null id are not reported; repeated ids are reported once.
     Columns besides id and text are not read. Empty tables give no rows.
     """
-    items = written(tests.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), _hashes(whole_text(item_text_col)).alias("h")).where(F.size("h") >= MIN_ITEM), "items")
-    seeds = written(_seeds(items, "item_id").withColumnRenamed("pos", "item_pos"), "seeds")
+    items = written(tests.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), _hashes(whole_text(item_text_col)).alias("h")).where(F.size("h") > 0), "items")
+    masks = dict(enumerate(MASKS))
+    short = {100 + n: tuple(range(n)) for n in sorted(r["n"] for r in items.select(F.size("h").alias("n")).where(F.col("n") < MIN_ITEM).distinct().collect())}  # at most 8
+    seeds = _seeds(items.where(F.size("h") >= MIN_ITEM), "item_id", masks)
+    for mask, places in short.items():
+        seeds = seeds.unionByName(_seeds(items.where(F.size("h") == len(places)), "item_id", {mask: places}))
+    seeds = written(seeds.withColumnRenamed("pos", "item_pos"), "seeds")
     few = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    own = _seeds(texts.select("doc_id", _hashes(F.col("text")).alias("h")), "doc_id")
-    hits = own.join(F.broadcast(seeds) if few else seeds.hint("merge"), ["mask", "hash"])
+    own = _seeds(texts.select("doc_id", _hashes(F.col("text")).alias("h")), "doc_id", masks | short)
+    if few:
+        hits = own.join(F.broadcast(seeds), ["mask", "hash"])
+    else:
+        part = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(PARTS))
+        spread = seeds.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<long>")))
+        hits = own.withColumn("part", part).join(spread.hint("merge"), ["mask", "hash", "part"])
     spans = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.min("item_pos").alias("lo"), F.max("item_pos").alias("hi"))
     spans = written(spans, "spans")
 

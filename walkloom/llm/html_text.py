@@ -222,8 +222,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     found = each.select("host", F.when(F.col("tree") % 2 == 0, F.col("title")).otherwise(F.col("page")).alias("page"), "tree").distinct().groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
     common = written(found.join(total, "host").where(F.col("n") >= RATIO * F.col("total")).select("host", "tree"), "template")
     # A host has at most (mean subtrees of its pages) / RATIO of them.
-    per_host = common.groupBy("host").agg(F.collect_list("tree").alias("template")).withColumnRenamed("host", "at_host")
-    known = by_host(parsed, per_host, common, BROADCAST_TREES)
+    per_host = common.groupBy("host").agg(F.collect_list("tree").alias("template")).withColumnRenamed("host", "__at_host")
+    known = by_host(parsed.withColumnRenamed("host", "__host"), per_host, common, BROADCAST_TREES)
     clean = F.transform("texts", lambda x, k: F.struct(x.alias("x"), F.get("listed", k).alias("l"), F.arrays_overlap(F.get("trees", k), F.coalesce("template", F.array().cast("array<long>"))).alias("t")))
     marked = known.select("page_id", "url", clean.alias("b"))
     kept = F.filter("b", lambda b: ~(b["l"] & F.lit(lists)) & ~F.coalesce(b["t"], F.lit(False)))

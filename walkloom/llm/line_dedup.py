@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import by_host, whole_text, written
 
 RATIO = 0.1
 #: A line on fewer distinct pages of a host is never boilerplate there, whatever its ratio.
@@ -49,11 +49,10 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     """
     found = written(boilerplate(docs, host_col, text_col, ratio, min_pages).select("host", "line"), "boilerplate")
     # A host has at most (mean lines of its pages) / ratio such lines, so a list per host is bounded by page length, not by pages.
-    lists = found.groupBy("host").agg(F.collect_list("line").alias("__lines")).withColumnRenamed("host", "__host")
-    few = found.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    lists = found.groupBy("host").agg(F.collect_list("line").alias("__lines")).withColumnRenamed("host", "__at_host")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept]).join(F.broadcast(lists) if few else lists.hint("merge"), host == F.col("__host"), "left")
+    rows = by_host(docs.select(*[F.col(f"`{c}`") for c in kept], host.alias("__host")), lists, found, BROADCAST_LINES)
     parts = F.split(whole_text(text_col), "\n")
     stay = F.filter(parts, lambda x: (_key(x) == "") | ~F.array_contains(F.col("__lines"), _hash(_key(x))))
     rows = rows.withColumn("__stay", F.when(F.col("__lines").isNotNull(), stay))

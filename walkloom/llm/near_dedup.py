@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_ids, whole_text, written
+from .common import by_ids, hot_bound, unskewed, whole_text, written
 from .textkit import U, mix, seeds, shingles, slices, word_hashes
 
 WIDTH = 5
@@ -98,12 +98,13 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """Smallest reachable id of every linked id (v, comp), by min-label passes with pointer jumping on written tables."""
     edges = written(links.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*").distinct(), "edges")
+    hubs = written(edges.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > hot_bound(edges.count())), "hubs")
     labels = written(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("comp")).withColumnRenamed("u", "v"), "labels")
     while True:
-        near = edges.join(labels, "v").groupBy("u").agg(F.min("comp").alias("least"))
+        near = unskewed(edges, labels, ["v"], hot=hubs).groupBy("u").agg(F.min("comp").alias("least"))
         step = labels.join(near, labels.v == near.u).select("v", F.col("comp").alias("old"), F.least("comp", "least").alias("mid"))
         up = labels.select(F.col("v").alias("mid"), F.col("comp").alias("top"))
-        moved = written(step.join(up, "mid", "left").select("v", "old", F.least("mid", "top").alias("comp")), "labels")
+        moved = written(unskewed(written(step, "step"), up, ["mid"], "left").select("v", "old", F.least("mid", "top").alias("comp")), "labels")
         labels = moved.select("v", "comp")
         if moved.where("comp <> old").isEmpty():
             return labels
@@ -122,31 +123,35 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     classes = written(rows.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     reps = rows.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"]).dropDuplicates(["doc_id", "f1", "f2"])
-    cells = reps.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "sig"))
-    shared = cells.groupBy("band", "sig").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(cells.join(shared, ["band", "sig"]), "members")
+    reps = written(reps.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("n"), "bands"), "reps")
+    cells = reps.select("v", "n", F.posexplode("bands").alias("band", "sig"))
+    shared = written(cells.groupBy("band", "sig").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    bound = hot_bound(BANDS * reps.count())
+    members = written(unskewed(cells, shared, ["band", "sig"], hot=shared.where(F.col("size") > bound)), "members")
 
     central = members.groupBy("v").agg(F.sum("size").alias("score"))
     large = members.where(F.col("size") > SMALL).join(central, "v")
-    first = large.groupBy("band", "sig").agg(F.max_by("v", F.struct("score", -F.col("v"))).alias("w"))
+    first = written(large.groupBy("band", "sig").agg(F.max_by("v", F.struct("score", -F.col("v"))).alias("w"), F.max("size").alias("size")), "heads")
+    hot, first = first.where(F.col("size") > bound), first.drop("size")
+    led = unskewed(members.where(F.col("size") > SMALL), first, ["band", "sig"], hot=hot)
     small = members.where(F.col("size") <= SMALL)
-    pairs = _sized(large, first.select("band", "sig", "w"), members).unionByName(_within(small))
+    led = written(led.select("v", "w", "n").distinct(), "led")
+    pairs = _sized(led, reps).unionByName(_within(small))
     tried = written(pairs.distinct(), "pairs")
     links = confirm(tried, texts)
     comps = components(links)
 
-    more = _left(large, first, comps, texts)
+    more = _left(led, comps, texts)
     if more is not None:
         links = links.unionByName(confirm(written(more.join(tried, ["a", "b"], "left_anti"), "pairs"), texts))
         comps = components(links)
 
     found = classes.join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("f1", "f2", F.coalesce("comp", "rep").alias("comp"))
-    return rows.select("doc_id", "n_shingles", "f1", "f2").join(found, ["f1", "f2"], "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("comp")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("comp")), F.col("comp").isNull()).alias("kept"),
-    )
+    # All copies of a text have one key, and so have all texts without words, which are in no class.
+    own = rows.select("doc_id", "n_shingles", "f1", "f2")
+    named = unskewed(own.where("n_shingles > 0"), found, ["f1", "f2"], "left").select("doc_id", "n_shingles", "comp")
+    named = named.unionByName(own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("comp")))
+    return named.select("doc_id", "n_shingles", F.col("comp").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("comp"), F.col("comp").isNull()).alias("kept"))
 
 
 def _fits(x: F.Column, y: F.Column) -> F.Column:
@@ -158,10 +163,10 @@ def _pair(x: F.Column, y: F.Column) -> list[F.Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _sized(rows: DataFrame, heads: DataFrame, members: DataFrame) -> DataFrame:
+def _sized(led: DataFrame, reps: DataFrame) -> DataFrame:
     """Each member of a large bucket with the bucket's head."""
-    size = members.select(F.col("v").alias("w"), F.col("n").alias("m")).distinct()
-    pairs = rows.join(heads, ["band", "sig"]).where("v <> w").select("v", "n", "w").distinct().join(size, "w")
+    size = reps.select(F.col("v").alias("w"), F.col("n").alias("m"))
+    pairs = unskewed(led.where("v <> w"), size, ["w"])
     return pairs.where(_fits(F.col("n"), F.col("m"))).select(*_pair(F.col("v"), F.col("w")))
 
 
@@ -183,17 +188,16 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("v"), part.column("w"), pa.array(shared, pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["v", "w", "i", "own"])
 
 
-def _left(large: DataFrame, heads: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Pairs (a, b) that may still link components among the members of large buckets with one head; None if there are none.
+def _left(led: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) that may still link components among the members (v, w, n) of large buckets with one head w; None if there are none.
 
     Members x and y of head w share at most min(|x & w|, |y & w|) shingles of w, and else only shingles outside w. So a link needs either
     enough shingles of w in both, which the counts decide, or a common shingle outside w; and then, by the usual prefix argument, one among
     the rarest |x| / 4 + 1 outside shingles of both. Members that differ from the head by words of their own thus meet nobody.
     """
-    own = large.select("band", "sig", "v", "n").join(heads, ["band", "sig"]).select("v", "w", "n").distinct()
-    own = own.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    own = led.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     mixed = own.groupBy("w").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("w")
-    open_ = written(own.join(mixed, "w"), "open")
+    open_ = written(unskewed(written(own, "own"), mixed, ["w"]), "open")
     if open_.isEmpty():
         return None
     needed = written(open_.select(F.explode(F.array("v", "w")).alias("doc_id")).distinct(), "needed")
@@ -204,10 +208,13 @@ def _left(large: DataFrame, heads: DataFrame, comps: DataFrame, texts: DataFrame
     rows = open_.join(measured, ["v", "w"], "left").withColumn("i", F.coalesce("i", "n"))
     rows = written(rows, "measured")
 
-    kinds = rows.select("w", "comp", "n", "i").distinct()
-    other = kinds.select("w", *[F.col(c).alias(f"{c}2") for c in ("comp", "n", "i")])
+    # A partner has three quarters of a member's shingles at least, so enough shingles of w are three quarters of its own; and it is of the
+    # member's own step of size or of a neighbouring one.
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)))
+    kinds = written(rows.where("4 * i >= 3 * n").select("w", "comp", "n", "i").distinct().withColumn("step", step), "kinds")
+    other = kinds.select("w", *[F.col(c).alias(f"{c}2") for c in ("comp", "n", "i")], F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])).alias("step"))
     enough = 3 * (F.col("n") + F.col("n2")) <= 7 * F.least("i", "i2")
-    pass_ = kinds.join(other, "w").where((F.col("comp") < F.col("comp2")) & _fits(F.col("n"), F.col("n2")) & enough)
+    pass_ = kinds.join(other, ["w", "step"]).where((F.col("comp") < F.col("comp2")) & _fits(F.col("n"), F.col("n2")) & enough)
     member = rows.select("w", "comp", "n", "i", "v")
     second = rows.select("w", F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("v").alias("v2"))
     near = pass_.join(member, ["w", "comp", "n", "i"]).join(second, ["w", "comp2", "n2", "i2"]).select(*_pair(F.col("v"), F.col("v2")))
