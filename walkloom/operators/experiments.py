@@ -6,14 +6,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def test_mae(order: list[str]) -> Column:
-    """The first present value in a report's own order."""
-    return F.coalesce(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in order])
+#: Order of the places where a report looks for a run's test error.
+_FIRST = [f"get(splits, 0).{c}" for c in ("final_test_mae", "test_mae", "best_test_mae")]
+REPORTS = {
+    "master": ["summary.mean_test_mae", "test_mae", "mean_test_mae", "best_test_mae", *_FIRST],
+    "full": ["summary.mean_test_mae", "test_mae", _FIRST[1], _FIRST[0], _FIRST[2]],
+    "gap": [_FIRST[1], _FIRST[0], "summary.mean_test_mae"],
+}
 
 
-def best_per(rows: DataFrame, by: list[str], value: Column, tie: list[str]) -> DataFrame:
-    """The row with the smallest value in each group; ties by the columns given."""
-    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(value, *tie))).where("__rn = 1").drop("__rn")
+def _number(place: str) -> Column:
+    return F.nanvl(F.expr(place).cast("double"), F.lit(None).cast("double"))
+
+
+def test_mae(report: str | list[str]) -> Column:
+    """The first place with a number, in the order of a report's name or of the list."""
+    return F.coalesce(*map(_number, REPORTS[report] if isinstance(report, str) else report))
+
+
+def complete_runs(rows: DataFrame, rule: str = "number", least_bytes: int = 0) -> DataFrame:
+    """Finished runs. number: a mean test error, else one of the first split; summary: a summary at all. Smaller files count as unfinished."""
+    done = F.col("summary").isNotNull() if rule == "summary" else F.coalesce(_number("summary.mean_test_mae"), _number(_FIRST[1])).isNotNull()
+    return rows.where(done & (F.col("n_bytes") >= least_bytes) if least_bytes else done)
+
+
+def ab_winner(new: Column, old: Column) -> Column:
+    """new, old or undecided: no new result decides nothing, a new one wins without an old one or below it."""
+    return F.when(new.isNull(), "undecided").when(old.isNull() | (new < old), "new").otherwise("old")
+
+
+def config_mismatches(configs: DataFrame, required: dict[str, str]) -> DataFrame:
+    """Of rows (run, name, value): run, name, value, want where a required value differs; a missing one differs too."""
+    want = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("want")) for k, v in required.items()]))
+    wanted = configs.select("run").distinct().select("run", want.alias("w")).select("run", "w.*")
+    return wanted.join(configs, ["run", "name"], "left").where(~F.col("value").eqNullSafe(F.col("want"))).select("run", "name", "value", "want")
+
+
+def aliased(rows: DataFrame, aliases: dict[str, str], column: str = "target") -> DataFrame:
+    """Targets under their one name."""
+    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    return rows.withColumn(column, F.coalesce(F.element_at(known, F.col(column)), F.col(column)))
+
+
+def best_per(rows: DataFrame, by: list[str], value: Column, tie: list[str], largest: bool = False, nth: int = 1) -> DataFrame:
+    """The row with the smallest (or largest) value in each group, or the nth; ties by the columns given. A group with fewer rows has none."""
+    order = value.desc() if largest else value
+    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(order, *tie))).where(F.col("__rn") == nth).drop("__rn")
 
 
 def early_stop(epochs: DataFrame, min_delta: float = 1e-6, patience: int = 10) -> DataFrame:

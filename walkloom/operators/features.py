@@ -82,3 +82,44 @@ def graph_pool(means: DataFrame, zero_fill: bool = False) -> DataFrame:
     if zero_fill:
         most = F.when(F.count("*") <= F.max("node"), F.greatest(most, F.lit(0.0))).otherwise(most)
     return means.groupBy("g").agg((F.sum("mean") / n).alias("mean"), F.sum("mean").alias("total"), most.alias("most"))
+
+
+def edge_attr_pairs(raw: DataFrame) -> DataFrame:
+    """g, u, v, attr of both directions of raw edges (g, u, v, attr, ord). Of repeated edges the last counts, and an edge's own reverse is
+    written after all edges, so that it wins where both are given."""
+    def last(u: str, v: str, name: str) -> DataFrame:
+        return raw.groupBy("g", F.col(u).alias("a"), F.col(v).alias("b")).agg(F.max_by("attr", "ord").alias(name)).withColumnsRenamed({"a": "u", "b": "v"})
+
+    return last("u", "v", "own").join(last("v", "u", "back"), ["g", "u", "v"], "full").select("g", "u", "v", F.coalesce("back", "own").alias("attr"))
+
+
+def edge_feature(dist: Column | None, bond: Column | None) -> Column:
+    """Distance basis, then the bond's vector; either may be off, and without both there is none."""
+    parts = [p for p in (geometry.rbf(dist) if dist is not None else None, F.transform(bond, lambda x: x.cast("double")) if bond is not None else None) if p is not None]
+    return F.concat(*parts) if parts else F.lit(None).cast("array<double>")
+
+
+def walk_pe(steps: DataFrame, edges: DataFrame, s: int, repeats: bool = True) -> DataFrame:
+    """g, walk, pos, pe: the repeat bits (walks only), then the edge bits of each step."""
+    parts = [edge_encoding(steps, edges, s).withColumn("at", F.col("d") + s)]
+    if repeats:
+        parts.append(repeat_encoding(steps, s).withColumn("at", F.col("d")))
+    bits = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    pe = F.transform(F.array_sort(F.collect_list(F.struct("at", "bit"))), lambda x: x["bit"])
+    return bits.groupBy("g", "walk", "pos").agg(pe.alias("pe"))
+
+
+def pair_mask(steps: DataFrame, causal: bool = False) -> DataFrame:
+    """g, walk, i, j: the pairs of true steps; causal: j not after i."""
+    a, b = steps.select("g", "walk", F.col("pos").alias("i")), steps.select("g", "walk", F.col("pos").alias("j"))
+    pairs = a.join(b, ["g", "walk"])
+    return pairs.where("j <= i") if causal else pairs
+
+
+def pair_basis(pairs: DataFrame, rbf: int = 16, angle_k: int = 8, dihedral_k: int = 4) -> DataFrame:
+    """g, walk, i, j, x of pair_geometry: distance basis, both angles' bases and the dihedral's; zeros where an angle is missing."""
+    def or_zeros(value: str, basis: Column, width: int) -> Column:
+        return F.when(F.col(value).isNotNull(), basis).otherwise(F.array_repeat(F.lit(0.0), width))
+
+    x = F.concat(geometry.rbf(F.col("dist"), rbf), or_zeros("angle_i", geometry.angle_basis(F.col("angle_i"), angle_k), angle_k), or_zeros("angle_j", geometry.angle_basis(F.col("angle_j"), angle_k), angle_k), or_zeros("dihedral", geometry.dihedral_basis(F.col("dihedral"), dihedral_k), 2 * dihedral_k))
+    return pairs.select("g", "walk", "i", "j", x.alias("x"))

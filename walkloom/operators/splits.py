@@ -41,3 +41,15 @@ def group_split(df: DataFrame, n_splits: int = 10, test: float = 0.2, valid: flo
 def fingerprint(ids: DataFrame) -> DataFrame:
     """fold, n, digest: sha256 over the sorted ids as text, for folds that fit one row."""
     return ids.groupBy("fold").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ","), 256).alias("digest"))
+
+
+def take_by_ids(rows: DataFrame, ids: DataFrame, key_col: str = "id") -> DataFrame:
+    """The rows of ids (ordinal, id), one for each place in the list: repeated ids repeat, unknown ones are left out. Order by ordinal."""
+    return ids.select("ordinal", F.col("id").alias(key_col)).join(rows, key_col)
+
+
+def recovered_by_position(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows (ordinal, ...) without a key get the id of keys (ordinal, id) at their place; a place that only one of the two has is an error."""
+    both = rows.withColumn("__row", F.lit(True)).join(keys.withColumn("__key", F.lit(True)), "ordinal", "full")
+    bad = F.col("__row").isNull() | F.col("__key").isNull()
+    return both.withColumn("id", F.when(bad, F.raise_error(F.lit("rows and keys differ in length")).cast("long")).otherwise(F.col("id"))).drop("__row", "__key")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from walkloom.operators import experiments, metrics, splits, tokens
 from walkloom.plans.catalog import query
 from walkloom.plans.fixtures import EPOCHS, RUNS, epochs, read, runs
+from walkloom.sources import tables
 from walkloom.sources.tables import parsed_log
 from walkloom.streaming import monitor
 
@@ -299,11 +298,12 @@ def pooled_std_verdict(spark, d):
     return s.join(F.broadcast(r), "target").select("model", "target", (F.col("mean") < F.col("rm") + F.sqrt((F.col("std") ** 2 + F.col("rs") ** 2) / 2)).alias("competitive"))
 
 
-@query(f"WITH {RUNS}, s AS (SELECT model, target, avg(mae) mean FROM runs GROUP BY ALL) SELECT s.model, s.target, round((s.mean - r.mean) * 1000, 4) delta, abs((s.mean - r.mean) * 1000) <= 2 is_null FROM s JOIN s r ON r.target = s.target AND r.model = 'N'")
+@query(f"WITH {RUNS}, s AS (SELECT model, target, CAST(sum(CAST(round(mae * 1e6) AS BIGINT)) AS DOUBLE) / count(*) mean FROM runs GROUP BY ALL) SELECT s.model, s.target, round((s.mean - r.mean) / 1000, 4) delta, abs((s.mean - r.mean) / 1000) <= 2 is_null FROM s JOIN s r ON r.target = s.target AND r.model = 'N'")
 def delta_vs_base(spark, d):
-    s = runs(spark, d).groupBy("model", "target").agg(F.avg("mae").alias("mean"))
-    delta = (F.col("mean") - F.col("base")) * 1000
-    return s.join(F.broadcast(s.where("model = 'N'").select("target", F.col("mean").alias("base"))), "target").select("model", "target", F.round(delta, 4).alias("delta"), (F.abs(delta) <= 2).alias("is_null"))
+    # means of whole millionths, so that the order of summing does not matter
+    s = runs(spark, d).groupBy("model", "target").agg((F.sum(F.round(F.col("mae") * 1e6).cast("long")).cast("double") / F.count("*")).alias("mean"))
+    delta = (F.col("mean") - F.col("base")) / 1000
+    return s.join(s.where("model = 'N'").select("target", F.col("mean").alias("base")), "target").select("model", "target", F.round(delta, 4).alias("delta"), (F.abs(delta) <= 2).alias("is_null"))
 
 
 @query(f"WITH {RUNS}, s AS (SELECT model, target, avg(mae) mean FROM runs GROUP BY ALL) SELECT model, target, CASE WHEN target = 'F' THEN printf('%.3f', mean / 0.05) ELSE '?' END ratio FROM s")
@@ -379,7 +379,7 @@ def _stream(spark, d):
 
 
 def _state(spark):
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-walkloom-")).rstrip("/") + "/monitor"
+    return f"{tables.shared_dir(spark)}/monitor"
 
 
 @query("SELECT user_id run, max(event_id) last_epoch, min(round(value, 4)) best_valid, count(*) n FROM events GROUP BY user_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,21 @@ EPOCH = "struct<epoch:int,lr:double,train_mse:double,valid_mae:double,dt_sec:dou
 METRICS = f"config struct<target:string,seed:int,m:int,n_splits:int,n_total:int,y_mean:double,y_std:double>, splits array<struct<split:int,epochs_run:int,best_valid_mae:double,test_mae:double,final_test_mae:double,best_test_mae:double,epochs:array<{EPOCH}>>>, test_mae double, mean_test_mae double, best_test_mae double, summary struct<mean_test_mae:double,std_test_mae:double,mean_valid_mae:double,total_wall_sec:double,peak_gpu_mem_mb:double>"
 
 
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; on a local master without that setting, one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="spark-walkloom-"))
+    return "file://" + _own[0]
+
+
 def read_labelled_csv(spark: SparkSession, path: str, idx_text: int, idx_y: int) -> DataFrame:
     """text and y by ordinal (negative from the end); rows without a number as y are dropped."""
     df = spark.read.option("header", True).csv(path)
