@@ -58,6 +58,7 @@ def hot_rows(n, seed):
 def test_large_group_of_near_copies(spark, monkeypatch, least):
     """least: rows from which a key counts as hot, so that both ways of joining are taken."""
     monkeypatch.setattr(common, "HOT_ROWS", least)
+    monkeypatch.setattr(common, "FEW_ROWS", 200_000 if least > 4 else 0)
     rows = [*hot_rows(150, 1), *((1000 + k, "one text with many copies of its own") for k in range(30)), *((2000 + k, "") for k in range(30))]
     rng = random.Random(2)
     rng.shuffle(rows)

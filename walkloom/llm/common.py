@@ -79,14 +79,22 @@ def hot_bound(rows: int) -> int:
     return max(HOT_ROWS, rows // HOT_KEYS)
 
 
+#: A table of fewer rows is no work for one task, whatever its keys.
+FEW_ROWS = 200_000
+
+
 def unskewed(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """Join with a table of one row for each key. Hot keys of left (given, or counted here) are at most HOT_KEYS, so their rows of
     right are broadcast; all other keys shuffle. left should be a written table, as it is read for both."""
     if hot is None:
-        hot = left.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_bound(left.count())).where(" and ".join(f"`{k}` is not null" for k in keys))
-    hot = written(hot.select(*keys), "hot")
+        n = left.count()
+        if n <= FEW_ROWS:
+            return left.join(right, keys, how)
+        hot = left.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_bound(n)).where(" and ".join(f"`{k}` is not null" for k in keys))
+        hot = written(hot.select(*keys), "hot")
     if hot.isEmpty():
         return left.join(right.hint("merge"), keys, how)
+    hot = hot.select(*keys)
     marked = left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
     few = right.join(F.broadcast(hot), keys, "left_semi")
     a = marked.where("__hot").drop("__hot").join(F.broadcast(few), keys, how)

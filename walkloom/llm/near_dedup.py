@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
 from .common import by_ids, hot_bound, unskewed, whole_text, written
 from .textkit import U, mix, seeds, shingles, slices, word_hashes
 
@@ -98,13 +99,16 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """Smallest reachable id of every linked id (v, comp), by min-label passes with pointer jumping on written tables."""
     edges = written(links.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*").distinct(), "edges")
-    hubs = written(edges.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > hot_bound(edges.count())), "hubs")
+    n = edges.count()
+    few = n <= common.FEW_ROWS
+    hubs = None if few else written(edges.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > hot_bound(n)).select("v"), "hubs")
     labels = written(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("comp")).withColumnRenamed("u", "v"), "labels")
     while True:
-        near = unskewed(edges, labels, ["v"], hot=hubs).groupBy("u").agg(F.min("comp").alias("least"))
+        near = (edges.join(labels, "v") if few else unskewed(edges, labels, ["v"], hot=hubs)).groupBy("u").agg(F.min("comp").alias("least"))
         step = labels.join(near, labels.v == near.u).select("v", F.col("comp").alias("old"), F.least("comp", "least").alias("mid"))
         up = labels.select(F.col("v").alias("mid"), F.col("comp").alias("top"))
-        moved = written(unskewed(written(step, "step"), up, ["mid"], "left").select("v", "old", F.least("mid", "top").alias("comp")), "labels")
+        raised = step.join(up, "mid", "left") if few else unskewed(written(step, "step"), up, ["mid"], "left")
+        moved = written(raised.select("v", "old", F.least("mid", "top").alias("comp")), "labels")
         labels = moved.select("v", "comp")
         if moved.where("comp <> old").isEmpty():
             return labels
