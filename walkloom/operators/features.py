@@ -32,14 +32,15 @@ def anonymised(ids: Column) -> Column:
     return F.transform(ids, lambda x: (F.array_position(F.array_distinct(ids), x) - 1).cast("int"))
 
 
-def step_bonds(steps: DataFrame, pairs: DataFrame, adjacent: DataFrame | None = None) -> DataFrame:
-    """Distance of each step from the step before, 0 at the start; with `adjacent`, 0 also where the two are no edge."""
-    moved = steps.withColumn("prev", F.lag("node").over(along()))
-    joined = moved.join(pairs.select("g", F.col("u").alias("prev"), F.col("v").alias("node"), "dist"), ["g", "prev", "node"], "left")
+def step_bonds(steps: DataFrame, nodes: DataFrame, adjacent: DataFrame | None = None) -> DataFrame:
+    """Distance of each step from the step before, 0 at the start; with `adjacent`, 0 also where the two are no edge. nodes: g, v, pos.
+    Only the pairs that a walk visits are measured."""
+    at = nodes.select("g", F.col("v").alias("node"), F.col("pos").alias("xyz"))
+    moved = steps.join(at, ["g", "node"], "left").withColumn("prev", F.lag("node").over(along())).withColumn("dist", geometry.distance(F.lag("xyz").over(along()), F.col("xyz")))
     if adjacent is not None:
         ends = adjacent.select("g", F.col("u").alias("prev"), F.col("v").alias("node"), F.lit(1).alias("near")).dropDuplicates()
-        joined = joined.join(ends, ["g", "prev", "node"], "left").withColumn("dist", F.when(F.col("near") == 1, F.col("dist")))
-    return joined.select("g", "walk", "pos", F.coalesce("dist", F.lit(0.0)).alias("dist"))
+        moved = moved.join(ends, ["g", "prev", "node"], "left").withColumn("dist", F.when(F.col("near") == 1, F.col("dist")))
+    return moved.select("g", "walk", "pos", F.coalesce("dist", F.lit(0.0)).alias("dist"))
 
 
 def placed(steps: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -84,6 +85,14 @@ def graph_pool(means: DataFrame, zero_fill: bool = False) -> DataFrame:
     return means.groupBy("g").agg((F.sum("mean") / n).alias("mean"), F.sum("mean").alias("total"), most.alias("most"))
 
 
+def approx_coverage(steps: DataFrame, nodes: DataFrame, rsd: float = 0.02) -> DataFrame:
+    """g, seen, n, share: about how many of a graph's nodes (g, v) its walks visit, from one sketch a graph and task; for graphs too large
+    for exact sets. The error is about rsd."""
+    seen = steps.groupBy("g").agg(F.approx_count_distinct("node", rsd).alias("seen"))
+    n = nodes.groupBy("g").agg(F.approx_count_distinct("v", rsd).alias("n"))
+    return n.join(seen, "g", "left").select("g", F.coalesce("seen", F.lit(0)).alias("seen"), "n", F.round(F.coalesce("seen", F.lit(0)) / F.col("n"), 6).alias("share"))
+
+
 def edge_attr_pairs(raw: DataFrame) -> DataFrame:
     """g, u, v, attr of both directions of raw edges (g, u, v, attr, ord). Of repeated edges the last counts, and an edge's own reverse is
     written after all edges, so that it wins where both are given."""

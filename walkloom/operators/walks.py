@@ -98,7 +98,8 @@ def padded(walks: DataFrame, most: int, pad: int = -1) -> DataFrame:
 
 def steps(walks: DataFrame) -> DataFrame:
     """Long form: g, walk, pos, node."""
-    return walks.select("g", "walk", F.posexplode("ids").alias("pos", "node"))
+    # the outer form, as the other makes the optimizer test ids for null and size first, which runs the walk's expression three times
+    return walks.select("g", "walk", F.posexplode_outer("ids").alias("pos", "node")).where("pos is not null")
 
 
 KINDS = {"walk": "uniform", "walk_ada": "uniform", "mdlr": "mdlr", "mdlr_ada": "mdlr", "rum": "uniform", "rum_ada": "uniform", "search": "search", "search_bfs": "search"}

@@ -39,10 +39,11 @@ def g1_packed(spark: SparkSession, d: str, chain: bool = True) -> DataFrame:
 
 
 def g2_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """3-D points: three components of each embedding, a graph per label."""
-    order = Window.partitionBy("label").orderBy("vec_id")
+    """3-D points: three components of each embedding; a graph holds those of one label among 256 ids in a row, so that graphs keep their size
+    as the table grows."""
+    order = Window.partitionBy("label", F.expr("vec_id div 256")).orderBy("vec_id")
     at = [F.round(F.element_at("embedding", k).cast("double") * 10, 4) for k in (1, 2, 3)]
-    return read(spark, d, "embeddings").select(F.col("label").cast("long").alias("g"), (F.row_number().over(order) - 1).alias("v"), F.struct(*[x.alias(n) for x, n in zip(at, "xyz", strict=True)]).alias("pos"))
+    return read(spark, d, "embeddings").select(F.expr("vec_id div 256 * 1000 + label").cast("long").alias("g"), (F.row_number().over(order) - 1).alias("v"), F.struct(*[x.alias(n) for x, n in zip(at, "xyz", strict=True)]).alias("pos"))
 
 
 def g2_edges(nodes: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ e0 AS (SELECT a.g, a.v u, b.v v FROM n a JOIN n b ON a.g = b.g AND (b.v = a.v +
 e AS (SELECT g, u, v FROM e0 UNION SELECT g, v, u FROM e0),
 adj AS (SELECT n.g, n.v, coalesce(list(e.v ORDER BY e.v) FILTER (e.v IS NOT NULL), []) nbrs FROM n LEFT JOIN e ON e.g = n.g AND e.u = n.v GROUP BY n.g, n.v)"""
 G1D = G1.replace("(b.v = a.v + 1 OR (a.z = b.z AND b.v = a.v + 3))", "a.z = b.z AND b.v = a.v + 3")
-G2 = """n AS (SELECT CAST(label AS BIGINT) g, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) v, round(CAST(embedding[1] AS DOUBLE) * 10, 4) x,
+G2 = """n AS (SELECT CAST(vec_id // 256 * 1000 + label AS BIGINT) g, CAST(row_number() OVER (PARTITION BY label, vec_id // 256 ORDER BY vec_id) - 1 AS INT) v, round(CAST(embedding[1] AS DOUBLE) * 10, 4) x,
   round(CAST(embedding[2] AS DOUBLE) * 10, 4) y, round(CAST(embedding[3] AS DOUBLE) * 10, 4) z FROM embeddings),
 d AS (SELECT a.g, a.v u, b.v v, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) dist FROM n a JOIN n b ON a.g = b.g),
 e AS (SELECT g, u, v FROM d WHERE u <> v AND (abs(u - v) = 1 OR dist < 2.0)),

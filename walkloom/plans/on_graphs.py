@@ -58,7 +58,8 @@ _WLK = """, c{k} AS (SELECT g, v, dense_rank() OVER (PARTITION BY g ORDER BY c,
 
 @query(f"WITH {fx.G1}, {_WL}{''.join(_WLK.format(k=k, p=k - 1) for k in (1, 2, 3))} SELECT g, v, c FROM c3")
 def wl_ranks(spark, d):
-    return graph.wl_ranks(*fx.g1(spark, d), F.col("z"))
+    ranks = graph.wl_ranks_packed(fx.g1_packed(spark, d))
+    return ranks.select("g", F.posexplode_outer("rank").alias("v", "c"))
 
 
 _KEY = """, k{k} AS (SELECT c.g, c.v, md5(concat_ws(';', any_value(c.c), coalesce(string_agg(o.c, ',' ORDER BY o.c), ''))) c
@@ -156,9 +157,8 @@ s AS (SELECT g, 0 k, [first(v ORDER BY c, v)] todo, CAST([] AS INT[]) ids FROM r
 
 @query(f"{R}{fx.G1}, {_WL}{''.join(_WLK.format(k=k, p=k - 1) for k in (1, 2, 3))}, {_CANON} SELECT g, array_to_string(arg_max(ids, k), ',') ids FROM s GROUP BY g")
 def dfs_canonical(spark, d):
-    nodes, edges = fx.g1(spark, d)
-    ranks = graph.wl_ranks(nodes, edges, F.col("z")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("r")).select("g", F.transform("r", lambda x: x["c"]).alias("rank"))
-    return walks.search(graph.packed(nodes, edges).join(ranks, "g"), 1, rank="rank").select("g", _joined("ids").alias("ids"))
+    graphs = fx.g1_packed(spark, d)
+    return walks.search(graphs.join(graph.wl_ranks_packed(graphs), "g"), 1, rank="rank").select("g", _joined("ids").alias("ids"))
 
 
 @query(f"{R}{fx.G1}, {fx.sql_walk(NW, L)} SELECT a.g, a.walk, a.pos, CAST(d AS INT) d, CASE WHEN b.node = a.node THEN 1 ELSE 0 END bit FROM w a CROSS JOIN range(1, 4) t(d) LEFT JOIN w b ON b.g = a.g AND b.walk = a.walk AND b.pos = a.pos - d")
@@ -284,3 +284,10 @@ def walk_edge_table(spark, d):
     edges = fx.g3_edges(spark, d)
     starts = edges.where("u like 'p%'").select(F.col("u").alias("walk"), F.col("u").alias("node")).distinct()
     return walks.edge_table_walk(edges, starts, 5)
+
+
+@query()
+def approx_coverage(spark, d):
+    """Share of the bipartite graph's nodes that the walks visit, by sketches."""
+    nodes = fx.g3_edges(spark, d).select(F.lit(0).alias("g"), F.col("u").alias("v"))
+    return features.approx_coverage(walk_edge_table(spark, d).withColumn("g", F.lit(0)), nodes)

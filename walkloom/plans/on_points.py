@@ -13,11 +13,11 @@ from walkloom.plans.fixtures import G2
 R = "WITH RECURSIVE "
 
 
-def _search(spark, d, depth_first=True, cap=12):
+def _search(spark, d, depth_first=True):
     nodes = fx.g2_nodes(spark, d)
     edges = fx.g2_edges(nodes)
     graphs = graph.packed(nodes.withColumn("z", F.lit(0)), edges)
-    return nodes, edges, walks.steps(walks.search(graphs, 1, cap=cap, depth_first=depth_first))
+    return nodes, edges, walks.steps(walks.search(graphs, 1, depth_first=depth_first))
 
 
 @query(f"WITH {G2} SELECT g, u, v, round(dist, 5) dist FROM d")
@@ -25,26 +25,26 @@ def pairwise_distances(spark, d):
     return graph.pair_distances(fx.g2_nodes(spark, d)).withColumn("dist", F.round("dist", 5))
 
 
-@query(f"WITH {G2}, c AS (SELECT i, 5.0::DOUBLE * i / 15 c FROM range(16) t(i)) SELECT g, u, v, CAST(i AS INT) i, round(exp(-((dist - c) * (dist - c)) / (2 * 0.3125::DOUBLE * 0.3125)), 5) x FROM d, c WHERE v = u + 1")
+@query(f"WITH {G2}, c AS (SELECT i, 5.0::DOUBLE * i / 15 c FROM range(16) t(i)) SELECT g, u, v, CAST(i AS INT) i, round(exp(-((dist - c) * (dist - c)) / (2 * 0.3125::DOUBLE * 0.3125)), 5) x FROM d, c WHERE u <> v")
 def rbf_expand(spark, d):
-    near = graph.pair_distances(fx.g2_nodes(spark, d)).where("v = u + 1").withColumn("r", geometry.rbf(F.col("dist")))
-    return near.select("g", "u", "v", F.posexplode("r").alias("i", "x")).withColumn("x", F.round("x", 5))
+    pairs = graph.pair_distances(fx.g2_nodes(spark, d)).where("u <> v").withColumn("r", geometry.rbf(F.col("dist")))
+    return pairs.select("g", "u", "v", F.posexplode("r").alias("i", "x")).withColumn("x", F.round("x", 5))
 
 
 def _steps_sql(depth_first: bool) -> str:
-    return f"{R}{G2}, {fx.sql_search(1, depth_first, cap=12)}, w AS (SELECT g, walk, CAST(k - 1 AS INT) pos, ids[k] node FROM (SELECT g, walk, ids, unnest(generate_series(1, len(ids))) k FROM found)), p AS (SELECT w.*, lag(node) OVER (PARTITION BY g, walk ORDER BY pos) prev FROM w)"
+    return f"{R}{G2}, {fx.sql_search(1, depth_first)}, w AS (SELECT g, walk, CAST(k - 1 AS INT) pos, ids[k] node FROM (SELECT g, walk, ids, unnest(generate_series(1, len(ids))) k FROM found)), p AS (SELECT w.*, lag(node) OVER (PARTITION BY g, walk ORDER BY pos) prev FROM w)"
 
 
 @query(f"{_steps_sql(True)} SELECT p.g, walk, pos, round(coalesce(dist, 0), 5) dist FROM p LEFT JOIN d ON d.g = p.g AND d.u = prev AND d.v = node")
 def step_edge_feature_dfs(spark, d):
     nodes, _, steps = _search(spark, d)
-    return features.step_bonds(steps, graph.pair_distances(nodes)).withColumn("dist", F.round("dist", 5))
+    return features.step_bonds(steps, nodes).withColumn("dist", F.round("dist", 5))
 
 
 @query(f"{_steps_sql(False)} SELECT p.g, walk, pos, round(CASE WHEN e.g IS NULL THEN 0 ELSE coalesce(dist, 0) END, 5) dist FROM p LEFT JOIN d ON d.g = p.g AND d.u = prev AND d.v = node LEFT JOIN e ON e.g = p.g AND e.u = prev AND e.v = node")
 def step_edge_feature_bfs(spark, d):
     nodes, edges, steps = _search(spark, d, depth_first=False)
-    return features.step_bonds(steps, graph.pair_distances(nodes), edges).withColumn("dist", F.round("dist", 5))
+    return features.step_bonds(steps, nodes, edges).withColumn("dist", F.round("dist", 5))
 
 
 @query(f"{_steps_sql(True)} SELECT w.g, walk, pos, n.x, n.y, n.z FROM w JOIN n ON n.g = w.g AND n.v = w.node")
@@ -110,68 +110,23 @@ def dihedral_basis(spark, d):
     return rows.select("g", "pos", F.posexplode("b").alias("k", "x")).withColumn("x", F.round("x", 3))
 
 
-@query(f"""WITH {G2}, c AS (SELECT * FROM n WHERE v < 12) SELECT i.g, i.v i, j.v j, round(sqrt({_dot(_sub('i', 'j'), _sub('i', 'j'))}), 5) dist,
+@query(f"""WITH {G2} SELECT i.g, i.v i, j.v j, round(sqrt({_dot(_sub('i', 'j'), _sub('i', 'j'))}), 5) dist,
   CASE WHEN i.v <> j.v AND b.g IS NOT NULL THEN round({sql_angle('b', 'i', 'j')}, 4) END angle_i, CASE WHEN i.v <> j.v AND a.g IS NOT NULL THEN round({sql_angle('i', 'j', 'a')}, 4) END angle_j,
-  CASE WHEN i.v <> j.v AND a.g IS NOT NULL AND b.g IS NOT NULL THEN round(cos({sql_dihedral('b', 'i', 'j', 'a')}), 3) END turn
-  FROM c i JOIN c j ON i.g = j.g LEFT JOIN c b ON b.g = i.g AND b.v = i.v - 1 LEFT JOIN c a ON a.g = j.g AND a.v = j.v + 1""")
+  CASE WHEN i.v <> j.v AND a.g IS NOT NULL AND b.g IS NOT NULL THEN round(cos({sql_dihedral('b', 'i', 'j', 'a')}), 3) + 0.0::DOUBLE END turn
+  FROM n i JOIN n j ON i.g = j.g LEFT JOIN n b ON b.g = i.g AND b.v = i.v - 1 LEFT JOIN n a ON a.g = j.g AND a.v = j.v + 1""")
 def pair_geometry(spark, d):
-    out = features.pair_geometry(_chain(spark, d).where("pos < 12"))
+    out = features.pair_geometry(_chain(spark, d))
     return out.select("g", "i", "j", F.round("dist", 5).alias("dist"), F.round("angle_i", 4).alias("angle_i"), F.round("angle_j", 4).alias("angle_j"), F.round(F.cos("dihedral"), 3).alias("turn"))
 
 
-@query(f"WITH {G2} SELECT g, count(*) n, md5(string_agg(CAST(CAST(round(dist * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY CAST(round(dist * 100) AS BIGINT))) k FROM d WHERE u < v AND v < 20 GROUP BY g")
+@query(f"WITH {G2} SELECT g, count(*) n, md5(string_agg(CAST(CAST(round(dist * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY CAST(round(dist * 100) AS BIGINT))) k FROM d WHERE u < v GROUP BY g")
 def distance_multiset_key(spark, d):
     whole = F.round(F.col("dist") * 100).cast("long")
-    near = graph.pair_distances(fx.g2_nodes(spark, d).where("v < 20")).where("u < v")
-    return near.groupBy("g").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(whole)), lambda x: x.cast("string")), ",")).alias("k"))
+    pairs = graph.pair_distances(fx.g2_nodes(spark, d)).where("u < v")
+    return pairs.groupBy("g").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(whole)), lambda x: x.cast("string")), ",")).alias("k"))
 
 
 @query("WITH t AS (SELECT DISTINCT turn pos FROM conversations) SELECT CAST(pos AS BIGINT) pos, CAST(i AS INT) i, round(CASE WHEN i % 2 = 0 THEN sin(pos / pow(10000, 2 * (i // 2) / 6.0::DOUBLE)) ELSE cos(pos / pow(10000, 2 * (i // 2) / 6.0::DOUBLE)) END, 6) x FROM t, range(6) r(i)")
 def position_encoding(spark, d):
     rows = fx.read(spark, d, "conversations").select(F.col("turn").alias("pos")).distinct().withColumn("e", features.position_encoding(F.col("pos"), 6))
     return rows.select("pos", F.posexplode("e").alias("i", "x")).withColumn("x", F.round("x", 6))
-
-
-# The same on whole graphs: searches to their end, and all pairs.
-def _whole_sql(depth_first: bool) -> str:
-    return f"{R}{G2}, {fx.sql_search(1, depth_first)}, w AS (SELECT g, walk, CAST(k - 1 AS INT) pos, ids[k] node FROM (SELECT g, walk, ids, unnest(generate_series(1, len(ids))) k FROM found)), p AS (SELECT w.*, lag(node) OVER (PARTITION BY g, walk ORDER BY pos) prev FROM w)"
-
-
-@query(f"{_whole_sql(True)} SELECT p.g, walk, pos, round(coalesce(dist, 0), 5) dist FROM p LEFT JOIN d ON d.g = p.g AND d.u = prev AND d.v = node")
-def step_edge_feature_dfs_whole(spark, d):
-    nodes, _, steps = _search(spark, d, cap=None)
-    return features.step_bonds(steps, graph.pair_distances(nodes)).withColumn("dist", F.round("dist", 5))
-
-
-@query(f"{_whole_sql(False)} SELECT p.g, walk, pos, round(CASE WHEN e.g IS NULL THEN 0 ELSE coalesce(dist, 0) END, 5) dist FROM p LEFT JOIN d ON d.g = p.g AND d.u = prev AND d.v = node LEFT JOIN e ON e.g = p.g AND e.u = prev AND e.v = node")
-def step_edge_feature_bfs_whole(spark, d):
-    nodes, edges, steps = _search(spark, d, depth_first=False, cap=None)
-    return features.step_bonds(steps, graph.pair_distances(nodes), edges).withColumn("dist", F.round("dist", 5))
-
-
-@query(f"{_whole_sql(True)} SELECT w.g, walk, pos, n.x, n.y, n.z FROM w JOIN n ON n.g = w.g AND n.v = w.node")
-def emit_xyz_whole(spark, d):
-    nodes, _, steps = _search(spark, d, cap=None)
-    return features.placed(steps, nodes).select("g", "walk", "pos", "xyz.x", "xyz.y", "xyz.z")
-
-
-@query(f"WITH {G2}, c AS (SELECT i, 5.0::DOUBLE * i / 15 c FROM range(16) t(i)) SELECT g, u, v, CAST(i AS INT) i, round(exp(-((dist - c) * (dist - c)) / (2 * 0.3125::DOUBLE * 0.3125)), 5) x FROM d, c WHERE u <> v")
-def rbf_expand_whole(spark, d):
-    pairs = graph.pair_distances(fx.g2_nodes(spark, d)).where("u <> v").withColumn("r", geometry.rbf(F.col("dist")))
-    return pairs.select("g", "u", "v", F.posexplode("r").alias("i", "x")).withColumn("x", F.round("x", 5))
-
-
-@query(f"""WITH {G2} SELECT i.g, i.v i, j.v j, round(sqrt({_dot(_sub('i', 'j'), _sub('i', 'j'))}), 5) dist,
-  CASE WHEN i.v <> j.v AND b.g IS NOT NULL THEN round({sql_angle('b', 'i', 'j')}, 4) END angle_i, CASE WHEN i.v <> j.v AND a.g IS NOT NULL THEN round({sql_angle('i', 'j', 'a')}, 4) END angle_j,
-  CASE WHEN i.v <> j.v AND a.g IS NOT NULL AND b.g IS NOT NULL THEN round(cos({sql_dihedral('b', 'i', 'j', 'a')}), 3) + 0.0::DOUBLE END turn
-  FROM n i JOIN n j ON i.g = j.g LEFT JOIN n b ON b.g = i.g AND b.v = i.v - 1 LEFT JOIN n a ON a.g = j.g AND a.v = j.v + 1""")
-def pair_geometry_whole(spark, d):
-    out = features.pair_geometry(_chain(spark, d))
-    return out.select("g", "i", "j", F.round("dist", 5).alias("dist"), F.round("angle_i", 4).alias("angle_i"), F.round("angle_j", 4).alias("angle_j"), F.round(F.cos("dihedral"), 3).alias("turn"))
-
-
-@query(f"WITH {G2} SELECT g, count(*) n, md5(string_agg(CAST(CAST(round(dist * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY CAST(round(dist * 100) AS BIGINT))) k FROM d WHERE u < v GROUP BY g")
-def distance_multiset_key_whole(spark, d):
-    whole = F.round(F.col("dist") * 100).cast("long")
-    pairs = graph.pair_distances(fx.g2_nodes(spark, d)).where("u < v")
-    return pairs.groupBy("g").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(whole)), lambda x: x.cast("string")), ",")).alias("k"))
