@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from walkloom.operators import attributes, experiments, features, splits
+from walkloom.sources import tables
 
 
 def test_widths():
@@ -43,3 +44,22 @@ def test_pair_basis(spark):
     x = {r["i"]: r["x"] for r in features.pair_basis(pairs).collect()}
     assert len(x[0]) == len(x[1]) == 16 + 8 + 8 + 8 and x[0][0] == 1.0 and x[0][16:] == [0.0] * 24
     assert x[1][15] == 1.0 and x[1][16] == pytest.approx(math.cos(0.5)) and x[1][24] == pytest.approx(math.cos(1)) and x[1][32] == pytest.approx(math.sin(2)) and x[1][36] == pytest.approx(math.cos(2))
+
+
+def test_graph_tables_keep_their_types_and_name_missing_columns(spark, tmp_path):
+    spark.sql("SELECT 1 AS v, 6 AS z, 7 AS g, 'C' AS symbol").write.parquet(f"{tmp_path}/nodes")
+    spark.sql("SELECT 7 AS g, 0 AS u, 1 AS v").write.parquet(f"{tmp_path}/edges")
+    spark.sql("SELECT 7 AS g, 0 AS u").write.parquet(f"{tmp_path}/short")
+    nodes, edges = tables.read_graph_tables(spark, f"{tmp_path}/nodes", f"{tmp_path}/edges")
+    assert nodes.dtypes == [("g", "bigint"), ("v", "int"), ("z", "int"), ("symbol", "string")] and edges.dtypes == [("g", "bigint"), ("u", "int"), ("v", "int")]
+    with pytest.raises(ValueError, match="no column v"):
+        tables.read_graph_tables(spark, f"{tmp_path}/nodes", f"{tmp_path}/short")
+
+
+def test_run_metrics_take_their_keys_from_the_path(spark, tmp_path):
+    for where in ("d1_m4/gap/split2", "m16/mu/seed43", "other"):
+        folder = tmp_path / where
+        folder.mkdir(parents=True)
+        (folder / "metrics.json").write_text('{"summary": {"mean_test_mae": 0.5}}')
+    found = {(r["model"], r["m"], r["target"], r["seed"]) for r in tables.read_run_metrics(spark, str(tmp_path)).collect()}
+    assert found == {("d1", 4, "gap", 2), (None, 16, "mu", 43), (None, None, None, None)}

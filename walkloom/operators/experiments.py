@@ -72,6 +72,18 @@ def prefer_final(rows: DataFrame, by: list[str]) -> DataFrame:
     return best_per(rows, by, F.when(F.col("stage") == "final", 0).otherwise(1), ["mae"])
 
 
+def first_number(cell: Column) -> Column:
+    """The first number in a displayed cell; null where there is none."""
+    return F.nullif(F.regexp_extract(cell, r"(-?[0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).cast("double")
+
+
+def best_displayed(cells: DataFrame, column: list[str], cell: str = "cell") -> DataFrame:
+    """cells with best: whether the first number displayed is the smallest of its column, to 1e-9. Ties by rounding are all best; a cell
+    without a number never is."""
+    n = first_number(F.col(cell))
+    return cells.withColumn("best", F.coalesce(F.abs(n - F.min(n).over(Window.partitionBy(*column))) < 1e-9, F.lit(False)))
+
+
 def wall(seconds: Column) -> Column:
     """HhMMmSSs."""
     s = seconds.cast("long")

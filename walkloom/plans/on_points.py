@@ -119,6 +119,17 @@ def pair_geometry(spark, d):
     return out.select("g", "i", "j", F.round("dist", 5).alias("dist"), F.round("angle_i", 4).alias("angle_i"), F.round("angle_j", 4).alias("angle_j"), F.round(F.cos("dihedral"), 3).alias("turn"))
 
 
+@query(f"""WITH {G2}, pg AS (SELECT i.g, i.v i, j.v j, sqrt({_dot(_sub('i', 'j'), _sub('i', 'j'))}) dist,
+  CASE WHEN i.v <> j.v AND b.g IS NOT NULL THEN {sql_angle('b', 'i', 'j')} END a1, CASE WHEN i.v <> j.v AND a.g IS NOT NULL THEN {sql_angle('i', 'j', 'a')} END a2,
+  CASE WHEN i.v <> j.v AND a.g IS NOT NULL AND b.g IS NOT NULL THEN {sql_dihedral('b', 'i', 'j', 'a')} END t
+  FROM n i JOIN n j ON i.g = j.g LEFT JOIN n b ON b.g = i.g AND b.v = i.v - 1 LEFT JOIN n a ON a.g = j.g AND a.v = j.v + 1)
+  SELECT g, i, j, CAST(k AS INT) k, round(CASE WHEN k < 16 THEN exp(-((dist - 5.0::DOUBLE * k / 15) * (dist - 5.0::DOUBLE * k / 15)) / (2 * 0.3125::DOUBLE * 0.3125)) WHEN k < 24 THEN coalesce(cos((k - 15) * a1), 0)
+  WHEN k < 32 THEN coalesce(cos((k - 23) * a2), 0) WHEN k < 36 THEN coalesce(sin((k - 31) * t), 0) ELSE coalesce(cos((k - 35) * t), 0) END, 3) + 0.0::DOUBLE x FROM pg, range(40) r(k)""")
+def pair_basis(spark, d):
+    rows = features.pair_basis(features.pair_geometry(_chain(spark, d)))
+    return rows.select("g", "i", "j", F.posexplode_outer("x").alias("k", "x")).withColumn("x", F.round("x", 3) + 0.0)
+
+
 @query(f"WITH {G2} SELECT g, count(*) n, md5(string_agg(CAST(CAST(round(dist * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY CAST(round(dist * 100) AS BIGINT))) k FROM d WHERE u < v GROUP BY g")
 def distance_multiset_key(spark, d):
     whole = F.round(F.col("dist") * 100).cast("long")

@@ -243,3 +243,30 @@ def run_state_stream(spark, d):
     known = read(spark, d, "events").select(F.col("user_id").alias("run")).distinct()
     manifest = known.unionByName(known.select((-1 - F.col("run")).alias("run")))
     return monitor.run_state(seen, manifest, manifest.where("run % 5 = 0"))
+
+
+# A run's last spell is stale on the stream once a row of any run lies an hour after it: its own gap and the watermark's.
+_SPELLS = "x AS (SELECT user_id run, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END fresh FROM events), y AS (SELECT *, sum(fresh) OVER (PARTITION BY run ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM x), s AS (SELECT run, min(ts) b, max(ts) + INTERVAL 30 MINUTE e, count(*) n FROM y GROUP BY run, k)"
+
+
+@query(f"WITH {_SPELLS} SELECT run, strftime(b, '%Y-%m-%d %H:%M:%S') AS begin_at, strftime(e, '%Y-%m-%d %H:%M:%S') AS stale_at, n, CAST(row_number() OVER (PARTITION BY run ORDER BY b) AS INT) retry, row_number() OVER (PARTITION BY run ORDER BY b) > 1 AS skip FROM s WHERE e <= (SELECT max(ts) - INTERVAL 30 MINUTE FROM events)")
+def stale_runs_stream(spark, d):
+    """Quiet spells as a stream emits them, with the retries they cost."""
+    spells = monitor.retries(monitor.drained(monitor.quiet_spells(_stream(spark, d)), "append", _state(spark)))
+    return spells.select("run", F.date_format("begin", "yyyy-MM-dd HH:mm:ss").alias("begin_at"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("stale_at"), "n", "retry", "skip")
+
+
+@query(f"WITH {RUNS} SELECT CASE WHEN m % 3 = 0 THEN NULL ELSE model END model, m, target, seed, count(*) n FROM runs GROUP BY ALL")
+def run_path_keys(spark, d):
+    """The keys of runs, read from paths of their files."""
+    folder = F.when(F.col("m") % 3 == 0, F.concat(F.lit("m"), "m")).otherwise(F.concat("model", F.lit("_m"), "m"))
+    path = F.concat(F.lit("file:/runs/"), folder, F.lit("/"), "target", F.when(F.col("m") % 2 == 0, "/split").otherwise("/seed"), "seed", F.lit("/metrics.json"))
+    return runs(spark, d).select(*tables.run_keys(path)).groupBy("model", "m", "target", "seed").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {RUNS}, c AS (SELECT model, target, m, seed, stage, CASE WHEN seed = 43 THEN 'n/a' ELSE printf('%d +/- 7', CAST(round(mae * 1e6) AS BIGINT) // 5000) END cell FROM runs), k AS (SELECT *, TRY_CAST(regexp_extract(cell, '^[0-9]+') AS DOUBLE) x FROM c) SELECT model, target, m, seed, stage, cell, coalesce(x = min(x) OVER (PARTITION BY target), false) best FROM k")
+def best_displayed(spark, d):
+    """The best cells of each column by what is displayed, so that ties by rounding are marked together."""
+    shown = F.floor(F.round(F.col("mae") * 1e6).cast("long") / 5000).cast("string")
+    cell = F.when(F.col("seed") == 43, "n/a").otherwise(F.concat(shown, F.lit(" +/- 7")))
+    return experiments.best_displayed(runs(spark, d).select("model", "target", "m", "seed", "stage", cell.alias("cell")), ["target"])

@@ -33,10 +33,17 @@ def read_labelled_csv(spark: SparkSession, path: str, idx_text: int, idx_y: int)
     return df.select(F.col(f"`{df.columns[idx_text]}`").alias("text"), y.alias("y")).where("text is not null and y is not null and not isnan(y)")
 
 
+def run_keys(path: Column) -> list[Column]:
+    """model, m, target, seed from a path .../<model>_m<m>/<target>/split<seed>/<file>; the model may be missing, and all are null elsewhere."""
+    shape = r"([^/]*?)_?m([0-9]+)/([^/]+)/(?:split|seed)([0-9]+)/[^/]+$"
+    part = lambda k: F.nullif(F.regexp_extract(path, shape, k), F.lit(""))
+    return [part(1).alias("model"), part(2).cast("int").alias("m"), part(3).alias("target"), part(4).cast("int").alias("seed")]
+
+
 def read_run_metrics(spark: SparkSession, root: str) -> DataFrame:
-    """One row per readable metrics file below root, with its path; only a file's first JSON object counts, unreadable files are left out."""
+    """One row per readable metrics file below root, with its path and the keys that stand in the path; only a file's first JSON object counts, unreadable files are left out."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    return files.select("path", F.from_json("value", METRICS).alias("r")).where("r is not null and (r.summary is not null or r.splits is not null or r.test_mae is not null)").select("path", "r.*")
+    return files.select("path", F.from_json("value", METRICS).alias("r")).where("r is not null and (r.summary is not null or r.splits is not null or r.test_mae is not null)").select("path", *run_keys(F.col("path")), "r.*")
 
 
 def parsed_log(line: Column) -> Column:
@@ -51,8 +58,21 @@ def read_train_log(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", True).text(root).select(parsed_log(F.col("value")).alias("e")).where("e is not null").select("e.*")
 
 
+NODES, EDGES, TARGETS = {"g": "long", "v": "int", "z": "int"}, {"g": "long", "u": "int", "v": "int"}, {"g": "long", "y": "array<double>"}
+
+
 def read_graph_tables(spark: SparkSession, nodes: str, edges: str, targets: str | None = None) -> tuple[DataFrame, ...]:
-    return tuple(spark.read.parquet(p) for p in (nodes, edges, targets) if p)
+    """Nodes (g, v, z), edges (g, u, v) and targets (g, y) in these types, further columns after them. A missing column is an error here, a value
+    that does not fit its type an error when it is read."""
+    found = []
+    for path, schema in ((nodes, NODES), (edges, EDGES), (targets, TARGETS)):
+        if path:
+            df = spark.read.parquet(path)
+            missing = [c for c in schema if c not in df.columns]
+            if missing:
+                raise ValueError(f"{path} has no column {', '.join(missing)}")
+            found.append(df.select(*[F.col(c).cast(t) for c, t in schema.items()], *[c for c in df.columns if c not in schema]))
+    return tuple(found)
 
 
 def write_target_tables(df: DataFrame, path: str, names: list[str], done: list[str] = ()) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,10 +22,16 @@ def run_state(progress: DataFrame, manifest: DataFrame, done: DataFrame) -> Data
 def quiet_spells(rows: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """run, begin, end, n of each spell of rows without a gap that long; on a stream a spell is emitted once its gap has passed."""
     if rows.isStreaming:
-        rows = rows.withWatermark("ts", gap)
+        rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", gap)  # watermarks need a time with a zone
     return rows.groupBy("run", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("run", F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "n")
 
 
+def retries(spells: DataFrame, most: int = 1) -> DataFrame:
+    """Each quiet spell with retry, the number of spells of its run up to it, and skip: whether that is more than a run is given."""
+    order = Window.partitionBy("run").orderBy("begin")
+    return spells.withColumn("retry", F.row_number().over(order)).withColumn("skip", F.col("retry") > most)
+
+
 def drained(stream: DataFrame, mode: str, path: str) -> DataFrame:
     """Run a stream over all that is there and return its table: each batch replaces (complete) or extends (append) what is under path."""
     spark: SparkSession = stream.sparkSession
