@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, line_dedup, lm, near_dedup, packing, pii, quality, token_store
+from . import decontaminate, exact_dedup, html_text, line_dedup, lm, merkle, near_dedup, packing, pii, quality, token_store
 from .common import new_path, table
 
 
@@ -31,6 +31,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(pii.joined("base_spans"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claim = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents"), claim))
+
+
 QUERIES = {
     "op1_lm_scoring": lambda spark, d: lm.lm_scores(table(spark, d, "documents")),
     "op2_token_store": op2,
@@ -42,10 +47,12 @@ QUERIES = {
     "op8_html_main_text": lambda spark, d: html_text.main_text(table(spark, d, "pages")),
     "op9_personal_data": op9,
     "op10_exact_dedup": lambda spark, d: exact_dedup.exact_groups(table(spark, d, "documents")),
+    "op13_merkle_manifest": op13,
 }
 
 ORACLES = {
     "op7_line_dedup": line_dedup.SQL,
+    "op13_merkle_manifest": merkle.SQL,
     "op10_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS k FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY k) AS group_size,
