@@ -56,13 +56,12 @@ def docs(spark, rows):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], f"{DOC}, grp string, idx int")
 
 
-def test_sources_of_many_sizes(spark, monkeypatch):
-    monkeypatch.setattr(merkle, "HEIGHT", 2)
-    monkeypatch.setattr(merkle, "BLOCK", 9)
+@pytest.mark.parametrize("height", [1, 2, 6])
+def test_sources_of_many_sizes(spark, height):
     rows = [(1000 * n + k, f"line {k}\nend", "en", f"src{n}", k) for n in (1, 2, 3, 4, 8, 9, 10, 27, 28, 82) for k in range(n)]
     rows += [(7, None, None, None, None), (None, "é\n", "fr", None, 2), (None, "", "fr", "S", 0), (5, "a", "b", "", 1), (5, "a", "b", "", 1), (5, "c", "b", "", 1), (9, "word " * 50_000, "en", "zz", 250_000)]
     claim = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
-    found = merkle.verified(merkle.manifest(docs(spark, rows), claim)).collect()
+    found = merkle.verified(merkle.manifest(docs(spark, rows), claim, height=height)).collect()
     assert got(found) == want(rows)
     for r in found:
         changed = r["doc_id"] is not None and r["doc_id"] % 2 == 0 and r["doc_id"] >= 1000

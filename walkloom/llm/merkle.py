@@ -8,7 +8,7 @@ up, as often as it takes, then the roots of the sources. A leaf's witness is its
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import pyarrow as pa
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import unskewed, written
 
+#: A block of leaves, cut at multiples of its size, is a subtree of this height.
 ARITY, HEIGHT = 3, 6
-BLOCK = ARITY**HEIGHT
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -34,13 +34,13 @@ def _parent(run: list[bytes]) -> bytes:
     return sha256("".join(x.hex() for x in run).encode()).digest()
 
 
-def _appended(leaves: list[bytes], whole: bool) -> tuple[bytes, list[bytearray]]:
+def _appended(leaves: list[bytes], height: int, whole: bool) -> tuple[bytes, list[bytearray]]:
     """Root of a block and the witness of each of its leaves; a whole tree ends where one node is left, a block of a larger one at its height.
 
     A witness has a byte for each level, place in the run + 4 * size of the run, followed by the run's other digests from left to right.
     """
     witness = [bytearray() for _ in leaves]
-    open_: list[list[tuple[bytes, int, int]]] = [[] for _ in range(HEIGHT + 1)]
+    open_: list[list[tuple[bytes, int, int]]] = [[] for _ in range(height + 1)]
 
     def close(level: int) -> None:
         run, open_[level] = open_[level], []
@@ -54,35 +54,39 @@ def _appended(leaves: list[bytes], whole: bool) -> tuple[bytes, list[bytearray]]
     for i, leaf in enumerate(leaves):
         open_[0].append((leaf, i, i + 1))
         level = 0
-        while level < HEIGHT and len(open_[level]) == ARITY:
+        while level < height and len(open_[level]) == ARITY:
             close(level)
             level += 1
-    for level in range(HEIGHT):
+    for level in range(height):
         if whole and len(open_[level]) == 1 and not any(open_[level + 1 :]):
             return open_[level][0][0], witness
         if open_[level]:
             close(level)
-    return open_[HEIGHT][0][0], witness
+    return open_[height][0][0], witness
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(height: int) -> Callable:
     """Rows (grp, idx, n, digest), sorted, of whole blocks: each with its witness and, on a block's first row, the block's root."""
-    held: list[tuple] = []
+    size = ARITY**height
 
-    def done() -> pa.RecordBatch:
+    def done(held: list[tuple]) -> pa.RecordBatch:
         grp, n = held[0][0], held[0][2]
-        root, witness = _appended([r[3] for r in held], n <= BLOCK)
-        cols = [[grp] * len(held), [r[1] for r in held], [r[1] // BLOCK for r in held], [bytes(w) for w in witness], [root, *[None] * (len(held) - 1)], [n] * len(held)]
+        root, witness = _appended([r[3] for r in held], height, n <= size)
+        cols = [[grp] * len(held), [r[1] for r in held], [r[1] // size for r in held], [bytes(w) for w in witness], [root, *[None] * (len(held) - 1)], [n] * len(held)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["grp", "idx", "block", "witness", "block_root", "n"])
 
-    for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("grp", "idx", "n", "digest")], strict=True):
-            if held and (held[0][0] != row[0] or held[0][1] // BLOCK != row[1] // BLOCK):
-                yield done()
-                held = []
-            held.append(row)
-    if held:
-        yield done()
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in ("grp", "idx", "n", "digest")], strict=True):
+                if held and (held[0][0] != row[0] or held[0][1] // size != row[1] // size):
+                    yield done(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield done(held)
+
+    return task
 
 
 def numbered(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
@@ -100,29 +104,29 @@ def numbered(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
     return placed.join(spans, [group, "__part"]).withColumn("idx", F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift")
 
 
-def trees(nodes: DataFrame) -> DataFrame:
+def trees(nodes: DataFrame, height: int = HEIGHT) -> DataFrame:
     """grp, idx, root, witness (up to the root) of each node (grp, idx, n, digest), a written table; a tree for each grp."""
-    levels, at = [], nodes
+    size, levels, at = ARITY**height, [], nodes
     while True:
-        block = F.expr(f"idx div {BLOCK}")
+        block = F.expr(f"idx div {size}")
         rows = at.select("grp", "idx", "n", "digest").repartition(F.col("grp"), block).sortWithinPartitions("grp", "idx")
-        done = written(rows.mapInArrow(_blocks, "grp string, idx long, block long, witness binary, block_root binary, n long"), "blocks")
+        done = written(rows.mapInArrow(_blocks(height), "grp string, idx long, block long, witness binary, block_root binary, n long"), "blocks")
         levels.append(done)
         heads = done.where("block_root is not null")
-        above = heads.where(F.col("n") > BLOCK)
+        above = heads.where(F.col("n") > size)
         if above.isEmpty():
             break
-        at = above.select("grp", F.col("block").alias("idx"), F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("n"), F.col("block_root").alias("digest"))
+        at = above.select("grp", F.col("block").alias("idx"), F.expr(f"(n + {size - 1}) div {size}").alias("n"), F.col("block_root").alias("digest"))
     found = None  # of each block of a level: its tree's root and the witness of the block's root
     for done in reversed(levels):
-        ends = done.where("block_root is not null and n <= " + str(BLOCK)).select("grp", "block", F.col("block_root").alias("root"), F.lit(b"").alias("rest"))
+        ends = done.where("block_root is not null and n <= " + str(size)).select("grp", "block", F.col("block_root").alias("root"), F.lit(b"").alias("rest"))
         found = ends if found is None else ends.unionByName(found)
         full = done.join(found, ["grp", "block"]).select("grp", "idx", "root", F.concat("witness", "rest").alias("witness"))
         found = full.select("grp", F.col("idx").alias("block"), "root", F.col("witness").alias("rest"))
     return full
 
 
-def manifest(docs: DataFrame, claim: Column | None = None, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def manifest(docs: DataFrame, claim: Column | None = None, fields: tuple[str, ...] = FIELDS, height: int = HEIGHT) -> DataFrame:
     """doc_id, leaf, claimed, subroot, root (binary digests) and witness of each row; columns besides the five fields are not read.
 
     Leaves of a source ascend by doc_id, null first, rows that repeat a doc_id by their digest; a null source is a source of its own, before
@@ -132,11 +136,11 @@ def manifest(docs: DataFrame, claim: Column | None = None, fields: tuple[str, ..
     doc_id, source, *rest = [F.col(c) for c in fields]
     rows = docs.select(doc_id.cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("-")).alias("grp"), leaf_digest([doc_id, source, *rest]).alias("digest"), (F.lit(None).cast("binary") if claim is None else F.when(claim.isNotNull(), leaf_digest([doc_id, source, *rest[:-1], claim]))).alias("claimed"))
     leaves = written(numbered(written(rows, "leaves"), "grp", [F.col("doc_id"), F.col("digest")]), "leaves")
-    own = written(trees(leaves), "witnesses")
+    own = written(trees(leaves, height), "witnesses")
     sources = own.where("idx = 0").select("grp", F.col("root").alias("digest"))
     tops = numbered(written(sources.select(F.lit("").alias("__all"), "grp", "digest"), "subroots"), "__all", [F.col("grp")])
     tops = written(tops.select(F.col("__all").alias("grp"), F.col("grp").alias("source"), "idx", "n", "digest"), "subroots")
-    over = tops.select("source", "idx").join(trees(tops).select("idx", "root", "witness"), "idx")
+    over = tops.select("source", "idx").join(trees(tops, height).select("idx", "root", "witness"), "idx")
     over = written(over.select(F.col("source").alias("grp"), F.col("root").alias("top"), F.col("witness").alias("up")), "tops")
     both = leaves.select("grp", "idx", "doc_id", "digest", "claimed").join(own, ["grp", "idx"])
     return unskewed(written(both, "rows"), over, ["grp"]).select("doc_id", F.col("digest").alias("leaf"), "claimed", F.col("root").alias("subroot"), F.col("top").alias("root"), F.concat("witness", "up").alias("witness"))
