@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, line_dedup, lm, merkle, near_dedup, packing, pii, quality, spelling, token_store
+from . import decontaminate, embed_dedup, exact_dedup, html_text, line_dedup, lm, merkle, near_dedup, packing, pii, quality, spelling, token_store
 from .common import new_path, table
 
 
@@ -47,6 +47,7 @@ QUERIES = {
     "op8_html_main_text": lambda spark, d: html_text.main_text(table(spark, d, "pages")),
     "op9_personal_data": op9,
     "op10_exact_dedup": lambda spark, d: exact_dedup.exact_groups(table(spark, d, "documents")),
+    "op11_embedding_near_dedup": lambda spark, d: embed_dedup.near_vectors(table(spark, d, "embeddings")),
     "op12_spelling_variants": lambda spark, d: spelling.variants(table(spark, d, "documents")),
     "op13_merkle_manifest": op13,
 }
