@@ -39,6 +39,23 @@ def test_any_run_counts(spark):
     assert 50 < len(want) < 290 and found(spark, texts, item) == want
 
 
+def test_rows_that_repeat_an_id_are_judged_apart(spark):
+    """Nine of an item's thirty tokens each: clean under any ids; one whole item among them is found."""
+    item, other = ITEM[:30], [f"own{k}" for k in range(30)]
+    rows = [(1, " ".join([*other[:k], *item[k : k + 9], *other[k + 9 :]])) for k in (0, 9, 18)]
+    items = spark.createDataFrame([(8, " ".join(item))], "item_id long, text string")
+    assert decontaminate.contaminated(spark.createDataFrame(rows, DOC), items).count() == 0
+    rows += [(1, " ".join(item)), (1, "short"), (1, " ".join(item)), (2, "w " * 300 + " ".join(item[:20]))]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, DOC), items).collect()
+    assert sorted((r["doc_id"], r["n_items"], r["item_ids"], r["matched_tokens"]) for r in got) == [(1, 1, [8], 30), (2, 1, [8], 20)]
+
+
+def test_a_long_item_is_compared_in_linear_time(spark):
+    long = [f"t{k}" for k in range(20_000)]
+    text = [w if k % 10 else "own" for k, w in enumerate(long)]
+    assert found(spark, [text, long[:40]], long) == {0: 18_000, 1: 40}
+
+
 def test_short_items_and_odd_rows(spark, monkeypatch):
     items = [(1, "alpha beta gamma"), (2, "one two three four five six seven"), (3, None), (4, ""), (None, "x y z"), (5, " ".join(ITEM))]
     docs = [(1, "so Alpha  beta\tGamma it is", "a"), (2, "alpha gamma beta", "b"), (3, "zero one two three four five six seven eight", "c"), (4, "one two three FOUR five six eight", "d"), (None, " ".join(ITEM), "e"), (6, None, "f"), (7, "", "g"), (8, "w " * 100_000 + " ".join(ITEM) + " v" * 100_000, "h"), (8, "alpha beta gamma", "i")]

@@ -7,7 +7,7 @@ a hit is then compared token by token over the whole overlap of item and text, a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, by_ids, whole_text, written
@@ -31,41 +31,39 @@ def _hashes(text: F.Column) -> F.Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, id_col: str, masks: dict[int, tuple[int, ...]]) -> DataFrame:
-    """id, pos, mask, hash: a row for each mask at each position where the mask fits. The hashes that follow a position stand beside it before
+def _seeds(rows: DataFrame, ids: list[str], masks: dict[int, tuple[int, ...]]) -> DataFrame:
+    """ids, pos, mask, hash: a row for each mask at each position where the mask fits. The hashes that follow a position stand beside it before
     positions become rows, so that no row carries its whole text."""
     ahead = F.arrays_zip(*[F.slice("h", k + 1, F.size("h")).alias(f"h{k}") for k in range(SPAN)])
-    at = rows.select(id_col, F.posexplode(ahead).alias("pos", "w"))
+    at = rows.select(*ids, F.posexplode(ahead).alias("pos", "w"))
     own = [F.struct(F.lit(m).alias("mask"), F.when(F.col(f"w.h{mask[-1]}").isNotNull(), F.xxhash64(*[F.col(f"w.h{k}") for k in mask])).alias("hash")) for m, mask in masks.items()]
-    return at.select(id_col, "pos", F.explode(F.array(*own)).alias("s")).select(id_col, "pos", "s.mask", "s.hash").where("hash is not null")
+    return at.select(*ids, "pos", F.explode(F.array(*own)).alias("s")).select(*ids, "pos", "s.mask", "s.hash").where("hash is not null")
 
 
-def _sums(equal: F.Column) -> F.Column:
-    """Number of equal tokens before each place, and in all."""
-    return F.aggregate(equal, F.array(F.lit(0)), lambda sums, e: F.array_append(sums, F.element_at(sums, -1) + e.cast("int")))
+def _stretches(checked: DataFrame) -> DataFrame:
+    """For each (doc_id, row, item_id, want): best, the most equal tokens of any run of enough tokens that reaches the share on one diagonal, 0 if
+    there is none; near, the equal tokens of the best stretch around the hits; all, the item's places in such stretches of any diagonal.
 
-
-def _level(at: F.Column) -> F.Column:
-    """Equal tokens before a place beyond the share asked for: a run reaches the share if its end is not below its start."""
-    return F.get("sums", at) - MIN_SHARE * at
-
-
-def _best(sums: F.Column, least: F.Column) -> F.Column:
-    """Most equal tokens of any run of at least so many tokens that reaches the share; 0 if there is none."""
-
-    def run(end: F.Column) -> F.Column:
-        starts = F.filter(F.sequence(F.lit(0), end - least), lambda at: _level(at) <= _level(end))
-        return F.get(sums, end) - F.get(sums, F.get(starts, F.lit(0)))
-
-    runs = F.transform(F.sequence(least, F.size(sums) - 1), run)
-    return F.when(F.size(sums) > least, F.coalesce(F.array_max(runs), F.lit(0))).otherwise(0)
-
-
-def _places() -> F.Column:
-    """Places in the item of the equal tokens from the first to the last hit, and as far before and after as the share holds from there."""
-    left = F.get(F.filter(F.sequence(F.lit(0), F.col("lo")), lambda at: _level(at) <= _level(F.col("lo"))), F.lit(0))
-    right = F.array_max(F.filter(F.sequence(F.col("hi"), F.size("equal")), lambda at: _level(at) >= _level(F.col("hi"))))
-    return F.transform(F.filter(F.sequence(left, right - 1), lambda i: F.get("equal", i)), lambda i: i + F.col("start"))
+    checked has a row for each diagonal, with `equal` from the item's place `start` on. The places of a diagonal become rows, as many as the item
+    has tokens. A run reaches the share if at its end the level, four times the equal tokens so far less three times the tokens, is not below
+    the level at its start, so the longest run to an end starts at the earliest place among those of no higher level.
+    """
+    key = ["doc_id", "row", "item_id", "diagonal"]
+    at = checked.select(*key, "want", "start", "lo", "hi", F.posexplode(F.concat(F.array(F.lit(0)), F.transform("equal", lambda e: e.cast("int")))).alias("k", "e"))
+    each = Window.partitionBy(*key)
+    at = at.withColumn("sum", F.sum("e").over(each.orderBy("k"))).withColumn("level", 4 * F.col("sum") - 3 * F.col("k"))
+    first = F.min(F.struct("k", "sum")).over(each.orderBy("level").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    low, high = (F.max(F.when(F.col("k") == F.col(c), F.col("level"))).over(each) for c in ("lo", "hi"))
+    at = at.withColumn("first", first).withColumn("low", low).withColumn("high", high)
+    left = F.min(F.when((F.col("k") <= F.col("lo")) & (F.col("level") <= F.col("low")), F.col("k"))).over(each)
+    right = F.max(F.when((F.col("k") >= F.col("hi")) & (F.col("level") >= F.col("high")), F.col("k"))).over(each)
+    at = at.withColumn("left", left).withColumn("right", right)
+    run = F.when(F.col("k") - F.col("first.k") >= F.least(F.lit(MIN_TOKENS), F.col("want")), F.col("sum") - F.col("first.sum")).otherwise(0)
+    place = F.when((F.col("e") == 1) & (F.col("k") > F.col("left")) & (F.col("k") <= F.col("right")), F.col("k") + F.col("start"))
+    one = at.withColumn("run", run).withColumn("place", place)
+    of = ["doc_id", "row", "item_id", "want"]
+    by_diagonal = one.groupBy(*of, "diagonal").agg(F.max("run").alias("best"), F.count("place").alias("near"), F.collect_list("place").alias("places"))
+    return by_diagonal.groupBy(*of).agg(F.max("best").alias("best"), F.max("near").alias("near"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("all"))
 
 
 def contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -74,40 +72,41 @@ def contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text
     A document is contaminated by an item if on one diagonal that a seed hits any run of at least 13 tokens (or the whole of a shorter
     item) has 75 % of its tokens equal, or if stretches around the hits of several diagonals (tokens inserted or lost) together match 75 %
     of the item. matched_tokens are the equal tokens of the longest such run, or of the best stretch where only several do together. An item under
-    8 tokens matches where it stands as a whole. Null or empty texts and items match nothing; rows with a null id are not reported; repeated ids are reported once.
+    8 tokens matches where it stands as a whole. Null or empty texts and items match nothing; rows with a null id are not reported; rows that repeat
+    an id are judged apart, and the id is reported once if any of them is contaminated.
     Columns besides id and text are not read. Empty tables give no rows.
     """
     items = written(tests.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), _hashes(whole_text(item_text_col)).alias("h")).where(F.size("h") > 0), "items")
     masks = dict(enumerate(MASKS))
     short = {100 + n: tuple(range(n)) for n in sorted(r["n"] for r in items.select(F.size("h").alias("n")).where(F.col("n") < MIN_ITEM).distinct().collect())}  # at most 8
-    seeds = _seeds(items.where(F.size("h") >= MIN_ITEM), "item_id", masks)
+    seeds = _seeds(items.where(F.size("h") >= MIN_ITEM), ["item_id"], masks)
     for mask, places in short.items():
-        seeds = seeds.unionByName(_seeds(items.where(F.size("h") == len(places)), "item_id", {mask: places}))
+        seeds = seeds.unionByName(_seeds(items.where(F.size("h") == len(places)), ["item_id"], {mask: places}))
     seeds = written(seeds.withColumnRenamed("pos", "item_pos"), "seeds")
     few = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    own = _seeds(texts.select("doc_id", _hashes(F.col("text")).alias("h")), "doc_id", masks | short)
+    text = whole_text(text_col)
+    # Rows that repeat an id are told apart by their texts, so that no row's diagonal is laid over another text.
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), _hashes(text).alias("h"))
+    own = _seeds(texts, ["doc_id", "row"], masks | short)
     if few:
         hits = own.join(F.broadcast(seeds), ["mask", "hash"])
     else:
         part = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(PARTS))
         spread = seeds.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<long>")))
         hits = own.withColumn("part", part).join(spread.hint("merge"), ["mask", "hash", "part"])
-    spans = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.min("item_pos").alias("lo"), F.max("item_pos").alias("hi"))
+    spans = hits.groupBy("doc_id", "row", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.min("item_pos").alias("lo"), F.max("item_pos").alias("hi"))
     spans = written(spans, "spans")
 
     # Only documents with a hit are read again; each brings the list of its stretches, whose number its own length bounds.
     hit_ids = written(spans.select("doc_id").distinct(), "hit_ids")
-    again = by_ids(texts, hit_ids, "doc_id", "left_semi").select("doc_id", _hashes(F.col("text")).alias("h"))
-    checked = again.join(spans, "doc_id").join(items.select("item_id", F.col("h").alias("item_h")), "item_id")
+    again = by_ids(texts, hit_ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "row"])
+    checked = again.join(spans, ["doc_id", "row"]).join(items.select("item_id", F.col("h").alias("item_h")), "item_id")
     # The whole overlap of item and text on the diagonal, from the item's place `start` on, as whether each token is equal.
     start, want = F.greatest(F.lit(0), -F.col("diagonal")), F.size("item_h")
     end = F.least(want, F.size("h") - F.col("diagonal"))
     equal = F.transform(F.sequence(start, end - 1), lambda i: F.coalesce(F.get("h", i + F.col("diagonal")) == F.get("item_h", i), F.lit(False)))
-    checked = checked.select("doc_id", "item_id", want.alias("want"), start.alias("start"), (F.col("lo") - start).alias("lo"), F.least(F.col("hi") + SPAN, end).alias("hi"), equal.alias("equal"))
-    checked = checked.withColumn("hi", F.col("hi") - F.col("start")).withColumn("sums", _sums(F.col("equal")))
-    checked = checked.withColumn("best", _best(F.col("sums"), F.least(F.lit(MIN_TOKENS), F.col("want")))).withColumn("places", _places())
-    pairs = checked.groupBy("doc_id", "item_id", "want").agg(F.max("best").alias("best"), F.max(F.size("places")).alias("near"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("all"))
-    pairs = pairs.where((F.col("best") > 0) | (F.col("all") >= MIN_SHARE * F.col("want")))
+    checked = checked.where(end > start).select("doc_id", "row", "item_id", "diagonal", want.alias("want"), start.alias("start"), (F.col("lo") - start).alias("lo"), (F.least(F.col("hi") + SPAN, end) - start).alias("hi"), equal.alias("equal"))
+    pairs = _stretches(checked).where((F.col("best") > 0) | (F.col("all") >= MIN_SHARE * F.col("want")))
     matched = F.when(F.col("best") > 0, F.col("best")).otherwise(F.col("near"))
-    return pairs.groupBy("doc_id").agg(F.lit(True).alias("contaminated"), F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max(matched).cast("long").alias("matched_tokens"))
+    ids = F.array_sort(F.collect_set("item_id"))
+    return pairs.groupBy("doc_id").agg(F.lit(True).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.max(matched).cast("long").alias("matched_tokens"))
