@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from walkloom.operators.ranks import running
+
 
 def mean_mad(rows: DataFrame, by: str) -> DataFrame:
     """Mean and mean absolute deviation of y per group, in two passes."""
@@ -17,13 +19,10 @@ def standardized(y: Column, mean: Column, std: Column) -> Column:
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:
-    """Tie-averaged Mann-Whitney AUC of (score, label); NaN with one class. Counts by score first, prefix sums by range of scores."""
+    """Tie-averaged Mann-Whitney AUC of (score, label); NaN with one class. Counts by score first, then running
+    sums over the scores, which may be any numbers."""
     by = rows.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
-    by = by.withColumn("lot", F.floor(F.col("score") * 64).cast("int"))
-    lots = by.groupBy("lot").agg(F.sum("q").alias("q_lot"))
-    ahead = lots.select("lot", F.coalesce(F.sum("q_lot").over(Window.orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # over at most 65 rows
-    below = F.coalesce(F.sum("q").over(Window.partitionBy("lot").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by.withColumn("below", below).join(F.broadcast(ahead), "lot").withColumn("won", F.col("p") * (F.col("ahead") + F.col("below") + F.col("q") / 2))
+    won = running(by, [F.col("score")], "q").withColumn("won", F.col("p") * (F.col("ahead") + F.col("q") / 2))
     total = F.sum("p") * F.sum("q")
     return won.agg(F.when(total > 0, F.sum("won") / total).otherwise(float("nan")).alias("auc"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
 

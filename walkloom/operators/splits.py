@@ -2,45 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from walkloom.functions.draws import key
-
-
-def ranked(df: DataFrame, key_col: str, parts: int = 64) -> DataFrame:
-    """rank from 0 of each row by a hex key, without a one-partition window: ranks within key prefixes, plus the counts of the prefixes before."""
-    rows = df.withColumn("lot", F.conv(F.substring(key_col, 1, 4), 16, 10).cast("int") * parts / 65536)
-    rows = rows.withColumn("lot", F.floor("lot").cast("int"))
-    sizes = rows.groupBy("split_no", "lot").count()
-    before = Window.partitionBy("split_no").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)  # over `parts` rows
-    ahead = sizes.select("split_no", "lot", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"), F.sum("count").over(Window.partitionBy("split_no")).alias("n"))
-    own = F.row_number().over(Window.partitionBy("split_no", "lot").orderBy(key_col, "id")) - 1
-    return rows.withColumn("own", own).join(ahead, ["split_no", "lot"]).withColumn("rank", F.col("ahead") + F.col("own"))
+from walkloom.operators.ranks import running
 
 
 def random_split(ids: DataFrame, n_splits: int = 10, test: float = 0.2, valid: float = 0.2, seed: int = 0) -> DataFrame:
     """split_no, id, fold with exact sizes: cuts at int(n (1 - valid - test)) and int(n (1 - valid))."""
     rows = ids.select("id").withColumn("split_no", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))).withColumn("k", key(seed, F.col("split_no"), F.col("id")))
-    r = ranked(rows, "k")
-    fold = F.when(F.col("rank") < F.floor(F.col("n") * (1 - valid - test) + 1e-9), "train").when(F.col("rank") < F.floor(F.col("n") * (1 - valid) + 1e-9), "valid").otherwise("test")
+    r = running(rows, [F.col("k"), F.col("id")], group=["split_no"])
+    cut = lambda share: F.floor(F.col("total") * share + 1e-9)
+    fold = F.when(F.col("ahead") < cut(1 - valid - test), "train").when(F.col("ahead") < cut(1 - valid), "valid").otherwise("test")
     return r.select("split_no", "id", fold.alias("fold"))
 
 
 def group_split(df: DataFrame, n_splits: int = 10, test: float = 0.2, valid: float = 0.2, seed: int = 0) -> DataFrame:
     """split_no, grp, fold: whole groups in keyed order, to test while its total is below test * n, then valid likewise, else train."""
     sizes = df.groupBy("grp").agg(F.count("*").alias("size")).withColumn("split_no", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))).withColumn("k", key(seed, F.col("split_no"), F.col("grp")))
-    each = Window.partitionBy("split_no")
-    before = each.orderBy("k", "grp").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sizes.select("*", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("ahead"), F.sum("size").over(each).alias("n"))
-    rows = rows.withColumn("is_test", F.col("ahead") < test * F.col("n"))
-    rows = rows.withColumn("tested", F.sum(F.when(F.col("is_test"), F.col("size")).otherwise(0)).over(each))
-    return rows.select("split_no", "grp", "size", F.when(F.col("is_test"), "test").when(F.col("ahead") - F.col("tested") < valid * F.col("n"), "valid").otherwise("train").alias("fold"))
-
-
-def fingerprint(ids: DataFrame) -> DataFrame:
-    """fold, n, digest: sha256 over the sorted ids as text, for folds that fit one row."""
-    return ids.groupBy("fold").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ","), 256).alias("digest"))
+    rows = running(sizes, [F.col("k"), F.col("grp")], "size", ["split_no"]).withColumn("is_test", F.col("ahead") < test * F.col("total"))
+    tested = rows.where("is_test").groupBy("split_no").agg(F.sum("size").alias("tested"))  # a row for each split
+    rows = rows.join(tested, "split_no")
+    return rows.select("split_no", "grp", "size", F.when(F.col("is_test"), "test").when(F.col("ahead") - F.col("tested") < valid * F.col("total"), "valid").otherwise("train").alias("fold"))
+
+
+def fingerprint(ids: DataFrame, by: list[str], most: int = 1_000_000) -> DataFrame:
+    """The columns of by, n, total, mixed, digest of each fold of ids (whole numbers).
+
+    total and mixed are the sum, modulo 2**64 as a decimal, and the xor of a 64-bit hash of each id: they don't depend on order, keep repeats apart
+    by the sum, and are partial aggregates, so a fold may be of any size. digest is the sha256 over the sorted ids, each as 8 bytes, lowest first;
+    it needs a fold's ids in one row, so it is null for folds of more than `most`.
+    """
+    h = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 16), 16, 10).cast("decimal(20,0)")
+    bits = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 16), 16, -10).cast("long")
+    sums = ids.withColumn("__bits", bits).groupBy(*by).agg(F.count("*").alias("n"), F.pmod(F.sum(h.cast("decimal(38,0)")), F.expr("cast('18446744073709551616' as decimal(20,0))")).cast("string").alias("total"), F.lower(F.lpad(F.hex(F.expr("bit_xor(__bits)")), 16, "0")).alias("mixed"))
+    small = sums.where(F.col("n") <= most).select(*by)
+    little = F.transform(F.array_sort(F.collect_list(F.col("id").cast("long"))), lambda x: F.reverse(F.regexp_extract_all(F.lpad(F.hex(x), 16, "0"), F.lit("(..)"), F.lit(1))))
+    exact = ids.join(F.broadcast(small), by).groupBy(*by).agg(F.sha2(F.unhex(F.array_join(F.flatten(little), "")), 256).alias("digest"))
+    return sums.join(exact, by, "left")
 
 
 def take_by_ids(rows: DataFrame, ids: DataFrame, key_col: str = "id") -> DataFrame:

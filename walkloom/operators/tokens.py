@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from walkloom.operators.ranks import running
+
 LETTERS = "([A-Za-z]+)"
 
 
@@ -20,8 +22,8 @@ def mapped_tokens(tokens: Column) -> Column:
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
-    """token, id: distinct tokens by code point from 0, PAD last. The window runs over the distinct tokens only."""
-    ids = tokens.select("token").distinct().select("token", (F.row_number().over(Window.orderBy("token")) - 1).alias("id"))
+    """token, id: distinct tokens by code point from 0, PAD last. Distinct tokens are numbered by ranges and counts, in as many tasks as there are."""
+    ids = running(tokens.select("token").distinct(), [F.col("token")]).select("token", F.col("ahead").cast("int").alias("id"))
     return ids.unionByName(ids.agg(F.lit("PAD").alias("token"), F.coalesce(F.max("id") + 1, F.lit(0)).alias("id")))
 
 

@@ -56,6 +56,22 @@ def mdlr(graphs: DataFrame, nw: int, length: int | Column, seed: int = 0) -> Dat
     return _starts(graphs, nw, seed).select("g", "walk", ids.alias("ids"))
 
 
+def started(graphs: DataFrame, nw: int, seed: int, rank: str | None) -> DataFrame:
+    """A row for each search, with its start: drawn, or with rank the node of the smallest (rank, node)."""
+    rows = _starts(graphs, nw, seed)
+    if rank:
+        best = F.array_min(F.transform(rank, lambda r, v: F.struct(r.alias("r"), v.alias("v"))))
+        rows = rows.withColumn("start", best["v"])
+    return rows
+
+
+def ordered(near: Column, node: Column, seed: int, rank: str | None) -> Column:
+    """The neighbours of a node in the order in which a search pushes them."""
+    if rank:
+        return F.transform(F.array_sort(F.transform(near, lambda x: F.struct((-F.get(rank, x)).alias("k"), (-x).alias("m")))), lambda s: -s["m"])
+    return F.transform(F.array_sort(F.transform(near, lambda x: F.struct(key(seed, F.col("g"), F.col("walk"), node, x).alias("k"), x.alias("m")))), lambda s: s["m"])
+
+
 def search(graphs: DataFrame, nw: int, cap: int | None = None, seed: int = 0, depth_first: bool = True, rank: str | None = None) -> DataFrame:
     """Search orders with the parent of each node (-1 for the start): g, walk, ids, parents.
 
@@ -63,16 +79,7 @@ def search(graphs: DataFrame, nw: int, cap: int | None = None, seed: int = 0, de
     by (seed, graph, walk, node, neighbour). With `rank` (an array column of node ranks) the search is canonical: it starts at the smallest
     (rank, node) and visits neighbours in that order, without draws. Only the start's component is visited.
     """
-    rows = _starts(graphs, nw, seed)
-    if rank:
-        best = F.array_min(F.transform(rank, lambda r, v: F.struct(r.alias("r"), v.alias("v"))))
-        rows = rows.withColumn("start", best["v"])
-
-    def ordered(near: Column, node: Column) -> Column:
-        if rank:
-            return F.transform(F.array_sort(F.transform(near, lambda x: F.struct((-F.get(rank, x)).alias("k"), (-x).alias("m")))), lambda s: -s["m"])
-        return F.transform(F.array_sort(F.transform(near, lambda x: F.struct(key(seed, F.col("g"), F.col("walk"), node, x).alias("k"), x.alias("m")))), lambda s: s["m"])
-
+    rows = started(graphs, nw, seed, rank)
     room = F.lit(cap) if cap else F.col("n")
     first = F.struct(F.array(F.struct(F.col("start").alias("v"), F.lit(-1).alias("p"))).alias("todo"), F.array().cast("array<int>").alias("ids"), F.array().cast("array<int>").alias("parents"))
 
@@ -81,7 +88,7 @@ def search(graphs: DataFrame, nw: int, cap: int | None = None, seed: int = 0, de
         rest = F.slice(s["todo"], 1, F.size(s["todo"]) - 1) if depth_first else F.slice(s["todo"], 2, F.size(s["todo"]))
         node = top["v"]
         fresh = F.filter(F.get("adj", node), lambda x: ~F.array_contains(s["ids"], x) & (x != node))
-        push = F.transform(ordered(fresh, node), lambda x: F.struct(x.alias("v"), node.alias("p")))
+        push = F.transform(ordered(fresh, node, seed, rank), lambda x: F.struct(x.alias("v"), node.alias("p")))
         done = (F.size(s["todo"]) == 0) | (F.size(s["ids"]) >= room)
         seen = F.array_contains(s["ids"], node)
         return F.when(done, s).otherwise(F.when(seen, F.struct(rest.alias("todo"), s["ids"].alias("ids"), s["parents"].alias("parents"))).otherwise(F.struct(F.concat(rest, push).alias("todo"), F.concat(s["ids"], F.array(node)).alias("ids"), F.concat(s["parents"], F.array(top["p"])).alias("parents"))))
@@ -106,29 +113,12 @@ KINDS = {"walk": "uniform", "walk_ada": "uniform", "mdlr": "mdlr", "mdlr_ada": "
 
 
 def sample(kind: str, graphs: DataFrame, nw: int, length: int, seed: int = 0) -> DataFrame:
-    """Walks of a named kind; adaptive kinds have as many nodes as the graph. An unknown kind is an error."""
+    """Walks of a named kind, of graphs of any size; adaptive kinds have as many nodes as the graph. An unknown kind is an error."""
+    from walkloom.operators import lockstep
+
     if kind not in KINDS:
         raise ValueError(f"unknown walk kind {kind!r}")
     if KINDS[kind] == "search":
-        return search(graphs, nw, length, seed, depth_first=kind == "search").select("g", "walk", "ids")
+        return lockstep.search(graphs, nw, length, seed, depth_first=kind == "search").select("g", "walk", "ids")
     size = F.col("n") if kind.endswith("_ada") else length
-    return (mdlr if KINDS[kind] == "mdlr" else uniform)(graphs, nw, size, seed)
-
-
-def edge_table_walk(edges: DataFrame, starts: DataFrame, length: int, seed: int = 0) -> DataFrame:
-    """Uniform walks on one huge graph by a join a step: edges (u, v), starts (walk, node); walk, pos, node.
-
-    Neighbours are numbered once, so a step reads one row of the table by (node, number): a hub's rows spread by number and no task
-    holds a hub's whole list.
-    """
-    from pyspark.sql import Window
-
-    numbered = edges.select("u", "v", (F.row_number().over(Window.partitionBy("u").orderBy("v")) - 1).alias("k"))
-    sizes = edges.groupBy("u").agg(F.count("*").alias("d"))
-    at = starts.select("walk", "node")
-    out = at.select("walk", F.lit(0).alias("pos"), "node")
-    for j in range(1, length):
-        drawn = at.join(sizes, at.node == sizes.u, "left").select("walk", "node", pick(F.coalesce("d", F.lit(0)), seed, F.col("walk"), j).alias("k"))
-        at = drawn.join(numbered.withColumnRenamed("u", "node"), ["node", "k"], "left").select("walk", F.coalesce("v", "node").alias("node"))
-        out = out.unionByName(at.select("walk", F.lit(j).alias("pos"), "node"))
-    return out
+    return lockstep.step_walks(graphs, nw, size, seed, weighted=KINDS[kind] == "mdlr")

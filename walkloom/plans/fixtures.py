@@ -38,6 +38,21 @@ def g1_packed(spark: SparkSession, d: str, chain: bool = True) -> DataFrame:
     return graph.packed(*g1(spark, d, chain))
 
 
+def g4_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Graphs of about 20 to 150 nodes: one for each supplier and line number, a node per line."""
+    order = Window.partitionBy("l_suppkey", "l_linenumber").orderBy("l_orderkey", "l_partkey", "l_extendedprice")
+    z = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    return read(spark, d, "lineitem").select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).cast("long").alias("g"), (F.row_number().over(order) - 1).alias("v"), z.alias("z"))
+
+
+def g4_packed(spark: SparkSession, d: str, self_loops: bool = False) -> DataFrame:
+    nodes = g4_nodes(spark, d)
+    half = g1_half(nodes)
+    if self_loops:
+        half = half.unionByName(nodes.where("z = 0").select("g", F.col("v").alias("u"), "v"))
+    return graph.packed(nodes, graph.undirected(half))
+
+
 def g2_nodes(spark: SparkSession, d: str) -> DataFrame:
     """3-D points: three components of each embedding; a graph holds those of one label among 256 ids in a row, so that graphs keep their size
     as the table grows."""
@@ -76,6 +91,7 @@ G1 = """n AS (SELECT l_orderkey g, CAST(row_number() OVER (PARTITION BY l_orderk
 e0 AS (SELECT a.g, a.v u, b.v v FROM n a JOIN n b ON a.g = b.g AND (b.v = a.v + 1 OR (a.z = b.z AND b.v = a.v + 3))),
 e AS (SELECT g, u, v FROM e0 UNION SELECT g, v, u FROM e0),
 adj AS (SELECT n.g, n.v, coalesce(list(e.v ORDER BY e.v) FILTER (e.v IS NOT NULL), []) nbrs FROM n LEFT JOIN e ON e.g = n.g AND e.u = n.v GROUP BY n.g, n.v)"""
+G4 = G1.replace("l_orderkey g, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)", "CAST(l_suppkey * 10 + l_linenumber AS BIGINT) g, CAST(row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey, l_partkey, l_extendedprice)")
 G1D = G1.replace("(b.v = a.v + 1 OR (a.z = b.z AND b.v = a.v + 3))", "a.z = b.z AND b.v = a.v + 3")
 G2 = """n AS (SELECT CAST(vec_id // 256 * 1000 + label AS BIGINT) g, CAST(row_number() OVER (PARTITION BY label, vec_id // 256 ORDER BY vec_id) - 1 AS INT) v, round(CAST(embedding[1] AS DOUBLE) * 10, 4) x,
   round(CAST(embedding[2] AS DOUBLE) * 10, 4) y, round(CAST(embedding[3] AS DOUBLE) * 10, 4) z FROM embeddings),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkloom.operators import features, graph, walks
+from walkloom.operators import features, graph, huge, walks
 from walkloom.plans import fixtures as fx
 from walkloom.plans.catalog import query
 
@@ -91,7 +91,7 @@ w AS (SELECT g, CAST(k AS INT) walk, 0 pos, CAST({fx.sql_u32("0", "g", "k", "0")
 
 @query(f"{R}{fx.G1}, {_MDLR} SELECT g, walk, pos, node FROM w")
 def walk_mdlr(spark, d):
-    return walks.steps(walks.mdlr(fx.g1_packed(spark, d), NW, L))
+    return walks.steps(walks.sample("mdlr", fx.g1_packed(spark, d), NW, L))
 
 
 _ANON = "dense_rank() OVER (PARTITION BY g, walk ORDER BY first) - 1"
@@ -283,7 +283,7 @@ def mdlr_weights(spark, d):
 def walk_edge_table(spark, d):
     edges = fx.g3_edges(spark, d)
     starts = edges.where("u like 'p%'").select(F.col("u").alias("walk"), F.col("u").alias("node")).distinct()
-    return walks.edge_table_walk(edges, starts, 5)
+    return huge.huge_walks(edges, starts, 5)
 
 
 @query()

@@ -137,7 +137,7 @@ def distance_multiset_key(spark, d):
     return pairs.groupBy("g").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(whole)), lambda x: x.cast("string")), ",")).alias("k"))
 
 
-@query("WITH t AS (SELECT DISTINCT turn pos FROM conversations) SELECT CAST(pos AS BIGINT) pos, CAST(i AS INT) i, round(CASE WHEN i % 2 = 0 THEN sin(pos / pow(10000, 2 * (i // 2) / 6.0::DOUBLE)) ELSE cos(pos / pow(10000, 2 * (i // 2) / 6.0::DOUBLE)) END, 6) x FROM t, range(6) r(i)")
+@query("WITH t AS (SELECT conv_id, turn pos FROM conversations) SELECT conv_id, CAST(pos AS BIGINT) pos, CAST(i AS INT) i, round(CASE WHEN i % 2 = 0 THEN sin(pos / pow(10000, 2 * (i // 2) / 6.0::DOUBLE)) ELSE cos(pos / pow(10000, 2 * (i // 2) / 6.0::DOUBLE)) END, 6) x FROM t, range(6) r(i)")
 def position_encoding(spark, d):
-    rows = fx.read(spark, d, "conversations").select(F.col("turn").alias("pos")).distinct().withColumn("e", features.position_encoding(F.col("pos"), 6))
-    return rows.select("pos", F.posexplode("e").alias("i", "x")).withColumn("x", F.round("x", 6))
+    rows = fx.read(spark, d, "conversations").select("conv_id", F.col("turn").alias("pos")).withColumn("e", features.position_encoding(F.col("pos"), 6))
+    return rows.select("conv_id", "pos", F.posexplode("e").alias("i", "x")).withColumn("x", F.round("x", 6))

@@ -20,10 +20,10 @@ def _tokens(spark, d):
     return read(spark, d, "documents").select("doc_id", F.explode(tokens.tokenize(F.col("text"))).alias("token"))
 
 
-@query(f"WITH {_TOK} SELECT doc_id, count(*) n, md5(string_agg(token, ' ' ORDER BY token)) bag FROM tok GROUP BY doc_id")
+@query(f"WITH {_TOK} SELECT doc_id, count(token) n, md5(coalesce(string_agg(token, ' ' ORDER BY token), '')) bag FROM documents LEFT JOIN tok USING (doc_id) GROUP BY doc_id")
 def tokenize(spark, d):
     t = tokens.tokenize(F.col("text"))
-    return read(spark, d, "documents").where(F.size(t) > 0).select("doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(F.array_sort(t), " ")).alias("bag"))
+    return read(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(F.array_sort(t), " ")).alias("bag"))
 
 
 @query(f"WITH {_TOK} SELECT token, count(*) n FROM tok GROUP BY token")
@@ -77,9 +77,12 @@ def fold_checks(spark, d):
     return _random(spark, d).groupBy("split_no", "fold").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
 
 
-@query(f"WITH {_RND} SELECT fold, count(*) n, sha256(string_agg(id, ',' ORDER BY id)) digest FROM f WHERE split_no = 0 GROUP BY fold")
+_HASHED = "x AS (SELECT *, CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 16) AS UBIGINT) h, lpad(to_hex(id), 16, '0') hex FROM f)"
+
+
+@query(f"WITH {_RND}, {_HASHED} SELECT split_no, fold, count(*) n, CAST(sum(CAST(h AS HUGEINT)) % 18446744073709551616 AS VARCHAR) total, lower(lpad(to_hex(bit_xor(h)), 16, '0')) mixed, sha256(unhex(string_agg(array_to_string(list_reverse([substr(hex, 2 * k + 1, 2) FOR k IN range(8)]), ''), '' ORDER BY id))) digest FROM x GROUP BY ALL")
 def split_fingerprint(spark, d):
-    return splits.fingerprint(_random(spark, d).where("split_no = 0"))
+    return splits.fingerprint(_random(spark, d), ["split_no", "fold"])
 
 
 @query("""WITH s AS (SELECT p_brand grp, count(*) size FROM part GROUP BY p_brand), o AS (SELECT k split_no, grp, size, coalesce(sum(size) OVER (PARTITION BY k ORDER BY md5(concat_ws('|', 0, k, grp)), grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ahead, sum(size) OVER (PARTITION BY k) n FROM s, (SELECT unnest([0, 1, 2]) k)),
@@ -179,9 +182,9 @@ def category_index(spark, d):
     return read(spark, d, "part").select("p_partkey", metrics.category_index(F.col("p_brand"), ["Brand#11", "Brand#12", "Brand#13", "misc"]).alias("idx"))
 
 
-@query("SELECT vec_id, CAST(list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS INT) k FROM embeddings")
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) k FROM embeddings")
 def one_hot_argmax(spark, d):
-    return read(spark, d, "embeddings").select("vec_id", metrics.one_hot_argmax(F.slice("embedding", 1, 4)).alias("k"))
+    return read(spark, d, "embeddings").select("vec_id", metrics.one_hot_argmax(F.col("embedding")).alias("k"))
 
 
 @query("""WITH raw AS (SELECT l_orderkey g, l_partkey u, l_suppkey v, arg_max(l_linenumber, l_linenumber * 1000000 + l_quantity) bond FROM lineitem GROUP BY ALL), p AS (SELECT DISTINCT l_orderkey g, least(l_partkey, l_suppkey) u, greatest(l_partkey, l_suppkey) v FROM lineitem)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[0]
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """The frame as a table in the shared folder: computed once, lineage cut, safe against lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_labelled_csv(spark: SparkSession, path: str, idx_text: int, idx_y: int) -> DataFrame:
     """text and y by ordinal (negative from the end); rows without a number as y are dropped."""
     df = spark.read.option("header", True).csv(path)
