@@ -12,7 +12,7 @@ from walkloom.plans.catalog import query
 from walkloom.plans.fixtures import G1, G2, RUNS, read, runs
 from walkloom.plans.on_tables import _state, _stream
 from walkloom.sources import tables
-from walkloom.streaming import monitor
+from walkloom.streaming import monitor, stale
 
 # ---- attributes ------------------------------------------------------------------------------------------------------------------
 _NAMES = ["mu", "alpha", "R2", "r2", "gap", "zpve", "Cv"]
@@ -256,6 +256,13 @@ def stale_runs_stream(spark, d):
     return spells.select("run", F.date_format("begin", "yyyy-MM-dd HH:mm:ss").alias("begin_at"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("stale_at"), "n", "retry", "skip")
 
 
+@query(f"WITH {_SPELLS}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY b) k FROM s) SELECT run, strftime(b, '%Y-%m-%d %H:%M:%S') AS begin_at, strftime(e, '%Y-%m-%d %H:%M:%S') AS stale_at, n, CAST(k AS INT) retry, k > 2 AS skip FROM r WHERE k <= 3 AND e <= (SELECT max(ts) - INTERVAL 30 MINUTE FROM events)")
+def stale_runs_stateful(spark, d):
+    """Quiet spells with retries and skips decided in the stream's state; a skipped run says no more."""
+    spells = stale.emitted(stale.stale_spells(_stream(spark, d), most=2), f"{_state(spark)}/{uuid.uuid4().hex}")
+    return spells.select("run", F.date_format("begin", "yyyy-MM-dd HH:mm:ss").alias("begin_at"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("stale_at"), "n", "retry", "skip")
+
+
 @query(f"WITH {RUNS} SELECT CASE WHEN m % 3 = 0 THEN NULL ELSE model END model, m, target, seed, count(*) n FROM runs GROUP BY ALL")
 def run_path_keys(spark, d):
     """The keys of runs, read from paths of their files."""
