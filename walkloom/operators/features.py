@@ -93,6 +93,21 @@ def approx_coverage(steps: DataFrame, nodes: DataFrame, rsd: float = 0.02) -> Da
     return n.join(seen, "g", "left").select("g", F.coalesce("seen", F.lit(0)).alias("seen"), "n", F.round(F.coalesce("seen", F.lit(0)) / F.col("n"), 6).alias("share"))
 
 
+def coverage(steps: DataFrame) -> DataFrame:
+    """g, seen: how many of a graph's nodes its walks visit, all walks together."""
+    return steps.select("g", "node").distinct().groupBy("g").agg(F.count("*").alias("seen"))
+
+
+def coverage_sketches(steps: DataFrame, *by: str, bits: int = 12) -> DataFrame:
+    """g, the columns of by, sketch: a sketch of the nodes visited, to be stored and united later; 2**bits registers, error about 1.04 / 2**(bits / 2)."""
+    return steps.groupBy("g", *by).agg(F.hll_sketch_agg(F.col("node").cast("long"), bits).alias("sketch"))
+
+
+def united(sketches: DataFrame, *by: str) -> DataFrame:
+    """g, the columns of by, about: the number of different nodes in all of a group's sketches together."""
+    return sketches.groupBy("g", *by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("about"))
+
+
 def edge_attr_pairs(raw: DataFrame) -> DataFrame:
     """g, u, v, attr of both directions of raw edges (g, u, v, attr, ord). Of repeated edges the last counts, and an edge's own reverse is
     written after all edges, so that it wins where both are given."""

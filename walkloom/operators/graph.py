@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from walkloom.functions import geometry
 
 
+#: Steps of rwse that go by joins.
+JOINED = 4
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of every edge once."""
     return edges.select("g", "u", "v").unionByName(edges.select("g", F.col("v").alias("u"), F.col("u").alias("v"))).dropDuplicates(["g", "u", "v"])
@@ -83,7 +87,12 @@ def wl_keys(nodes: DataFrame, edges: DataFrame, label: Column, rounds: int = 2)
 
 
 def rwse(nodes: DataFrame, edges: DataFrame, steps: int = 3) -> DataFrame:
-    """g, v, step, p: probability that a uniform walk is back at its start after 1..steps steps."""
+    """g, v, step, p: probability that a uniform walk is back at its start after 1..steps steps. Joins up to JOINED steps, which need no graph in
+    one row; beyond, where they fill in, powers of packed graphs."""
+    if steps > JOINED:
+        from walkloom.operators import spectra
+
+        return spectra.rwse(packed(nodes, edges), steps).select("g", "v", F.posexplode("p").alias("step", "p")).withColumn("step", F.col("step") + 1)
     pairs = edges.select("g", "u", "v").dropDuplicates()
     share = pairs.join(pairs.groupBy("g", "u").agg(F.count("*").alias("d")), ["g", "u"]).select("g", F.col("u").alias("i"), F.col("v").alias("j"), (1.0 / F.col("d")).alias("p"))
     at, found = share, []
@@ -113,27 +122,6 @@ def looked_up_bonds(pairs: DataFrame, raw: DataFrame) -> DataFrame:
 
 def laplacian_eigs(nodes: DataFrame, edges: DataFrame, k: int = 4) -> DataFrame:
     """g, v, raw, scaled, values: the first k eigenpairs of the normalised Laplacian, zero-padded; vectors up to sign."""
-    import numpy as np
-    import pandas as pd
-
-    rows = packed(nodes, edges).select("g", "n", "adj")
-
-    def solve(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            out = []
-            for g, n, adj in zip(pdf["g"], pdf["n"], pdf["adj"], strict=True):
-                a = np.zeros((n, n))
-                for v, near in enumerate(adj):
-                    a[v, near] = 1
-                d = a.sum(1)
-                s = 1 / np.sqrt(np.where(d > 0, d, 1))
-                values, vectors = np.linalg.eigh(np.eye(n) - s[:, None] * a * s)
-                raw = np.zeros((n, k))
-                raw[:, : min(n, k)] = vectors[:, :k]
-                lo, hi = raw.min(0), raw.max(0)
-                scaled = np.where(hi > lo, 2 * (raw - lo) / np.where(hi > lo, hi - lo, 1) - 1, np.where(lo == 1, 1.0, -1.0))
-                top = np.concatenate((values[:k], np.zeros(max(0, k - n))))
-                out += [(g, v, raw[v].tolist(), scaled[v].tolist(), top.tolist()) for v in range(n)]
-            yield pd.DataFrame(out, columns=["g", "v", "raw", "scaled", "values"])
-
-    return rows.mapInPandas(solve, "g long, v int, raw array<double>, scaled array<double>, values array<double>")
+    from walkloom.operators import spectra
+
+    return spectra.laplacian_eigs(packed(nodes, edges), k)

@@ -105,3 +105,50 @@ def traverse_canonical(spark, d):
     graphs = fx.g4_packed(spark, d)
     ranked = graphs.join(graph.wl_ranks_packed(graphs, 1), "g")
     return lockstep.search(ranked, 1, rank="rank").select("g", _text("ids").alias("ids"))
+
+
+_T = "t AS (SELECT g, u i, v j, 1.0::DOUBLE / count(*) OVER (PARTITION BY g, u) p FROM e)"
+_POWERS = ", ".join(["t1 AS (SELECT * FROM t)", *[f"t{k} AS (SELECT a.g, a.i, b.j, sum(a.p * b.p) p FROM t{k - 1} a JOIN t b ON b.g = a.g AND b.i = a.j GROUP BY a.g, a.i, b.j)" for k in range(2, 17)]])
+_BACK = " UNION ALL ".join(f"SELECT g, i v, {k} step, p FROM t{k} WHERE i = j" for k in range(1, 17))
+
+
+@query(f"WITH {fx.G1}, {_T}, {_POWERS}, h AS ({_BACK}) SELECT n.g, n.v, round(coalesce(sum(p) FILTER (step = 5), 0), 6) p5, round(coalesce(sum(p) FILTER (step = 8), 0), 6) p8, round(coalesce(sum(p) FILTER (step = 16), 0), 6) p16, round(coalesce(sum(p), 0), 6) total FROM n LEFT JOIN h ON h.g = n.g AND h.v = n.v GROUP BY n.g, n.v")
+def rwse_powers(spark, d):
+    """Returns after up to 16 steps, from stacked powers of packed graphs."""
+    rows = graph.rwse(*fx.g1(spark, d), steps=16)
+    at = lambda k: F.round(F.sum(F.when(F.col("step") == k, F.col("p"))), 6).alias(f"p{k}")
+    return rows.groupBy("g", "v").agg(at(5), at(8), at(16), F.round(F.sum("p"), 6).alias("total"))
+
+
+@query(f"WITH {fx.G4}, s AS (SELECT g, count(*) n FROM n GROUP BY g) SELECT g, CAST(k AS INT) k, CASE WHEN k < n THEN 1.0::DOUBLE ELSE 0.0 END norm, 0.0::DOUBLE residual, 0.0::DOUBLE overlap FROM s, range(6) t(k)")
+def laplacian_residuals(spark, d):
+    """Of each eigenpair: the vector's length, the largest |Lx - value x|, and the largest product with another vector, all from the edges."""
+    nodes = fx.g4_nodes(spark, d)
+    edges = graph.undirected(fx.g1_half(nodes))
+    found = graph.laplacian_eigs(nodes, edges, 6)
+    deg = edges.groupBy("g", F.col("u").alias("v")).agg(F.count("*").alias("d"))
+    at = found.join(deg, ["g", "v"], "left").select("g", "v", F.sqrt(F.coalesce("d", F.lit(1))).alias("r"), "raw", "values")
+    other = at.select("g", F.col("v").alias("w"), F.transform("raw", lambda x: x / F.col("r")).alias("far"))
+    pulled = edges.select("g", F.col("u").alias("v"), F.col("v").alias("w")).join(other, ["g", "w"]).select("g", "v", F.posexplode("far").alias("k", "x")).groupBy("g", "v", "k").agg(F.sum("x").alias("pull"))
+    rows = at.select("g", "v", "r", "raw", F.posexplode("raw").alias("k", "x"), "values").join(pulled, ["g", "v", "k"], "left")
+    off = F.abs(F.col("x") - F.coalesce("pull", F.lit(0.0)) / F.col("r") - F.get("values", F.col("k")) * F.col("x"))
+    dots = F.array(*[F.sum(F.when(F.col("k") != j, F.col("x") * F.get("raw", F.lit(j))).otherwise(0.0)) for j in range(6)])
+    sums = rows.groupBy("g", "k").agg(F.round(F.sqrt(F.sum(F.col("x") ** 2)), 6).alias("norm"), F.round(F.max(off), 6).alias("residual"), F.round(F.array_max(F.transform(dots, F.abs)), 6).alias("overlap"))
+    return sums.select("g", "k", "norm", "residual", "overlap")
+
+
+_EPOCHS, _RSD = 3, 0.05
+_SEEN = f"""size AS (SELECT g, count(*) n FROM n GROUP BY g),
+w AS (SELECT g, CAST(k AS INT) walk, CAST(q AS INT) epoch, 0 pos, CAST({fx.sql_u32("q", "g", "k", "0")} % n AS INT) node FROM size, range({NW}) t(k), range({_EPOCHS}) r(q)
+  UNION ALL SELECT w.g, walk, epoch, pos + 1, CASE WHEN len(a.nbrs) = 0 THEN w.node ELSE a.nbrs[CAST({fx.sql_u32("epoch", "w.g", "walk", "pos + 1")} % len(a.nbrs) AS INT) + 1] END FROM w JOIN adj a ON a.g = w.g AND a.v = w.node WHERE pos + 1 < 40)"""
+
+
+@query(f"{R}{fx.G4}, {_SEEN}, c AS (SELECT g, count(DISTINCT node) seen FROM w GROUP BY g) SELECT g, seen, n, round(seen / n::DOUBLE, 6) share, true AS within FROM c JOIN size USING (g)")
+def coverage_sketches(spark, d):
+    """Nodes of each graph that the walks of all epochs reach: exactly, and whether the union of the epochs' stored sketches says about the same."""
+    graphs = fx.g4_packed(spark, d)
+    steps = [walks.steps(lockstep.step_walks(graphs, NW, 40, seed=e)).withColumn("epoch", F.lit(e)) for e in range(_EPOCHS)]
+    every = steps[0].unionByName(steps[1]).unionByName(steps[2])
+    found = features.coverage(every).join(features.united(features.coverage_sketches(every, "epoch")), "g").join(graphs.select("g", "n"), "g")
+    near = F.abs(F.col("about") - F.col("seen")) <= F.greatest(F.lit(1.0), 3 * _RSD * F.col("seen"))
+    return found.select("g", "seen", F.col("n").cast("long").alias("n"), F.round(F.col("seen") / F.col("n"), 6).alias("share"), near.alias("within"))
