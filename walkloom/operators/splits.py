@@ -53,3 +53,31 @@ def recovered_by_position(rows: DataFrame, keys: DataFrame) -> DataFrame:
     both = rows.withColumn("__row", F.lit(True)).join(keys.withColumn("__key", F.lit(True)), "ordinal", "full")
     bad = F.col("__row").isNull() | F.col("__key").isNull()
     return both.withColumn("id", F.when(bad, F.raise_error(F.lit("rows and keys differ in length")).cast("long")).otherwise(F.col("id"))).drop("__row", "__key")
+
+
+def key_audit(a: DataFrame, b: DataFrame, key_col: str, sample: int = 5) -> DataFrame:
+    """side (only_a, only_b), n, sample: how many keys of one table the other lacks, and the first few of them; two rows, also where all is well."""
+    def only(x: DataFrame, y: DataFrame, side: str) -> DataFrame:
+        lone = x.select(key_col).distinct().join(y.select(key_col).distinct(), key_col, "left_anti")
+        few = F.array_sort(F.collect_list(key_col))  # of the limited rows: each part's first few, then of all
+        return lone.agg(F.count("*").alias("n")).crossJoin(lone.orderBy(key_col).limit(sample).agg(few.alias("sample"))).select(F.lit(side).alias("side"), "n", "sample")
+
+    return only(a, b, "only_a").unionByName(only(b, a, "only_b"))
+
+
+def fold_audit(folds: DataFrame, keys: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
+    """split_no, n, repeated, missing, unknown of folds (split_no, id, fold) over keys (id): ids in several folds or twice in one, keys in no fold, ids
+    that are no key. With sizes, a fold of another size is an error, named with both sizes."""
+    per = folds.groupBy("split_no", "id").agg(F.count("*").alias("k"))
+    every = folds.select("split_no").distinct().crossJoin(keys.select("id").distinct())  # a few splits
+    both = per.join(every.withColumn("known", F.lit(True)), ["split_no", "id"], "full")
+    out = both.groupBy("split_no").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.count_if(F.col("k") > 1).alias("repeated"), F.count_if(F.col("k").isNull()).alias("missing"), F.count_if(F.col("known").isNull()).alias("unknown"))
+    if sizes is None:
+        return out
+    want = folds.sparkSession.createDataFrame(list(sizes.items()), "fold string, want long")
+    found = folds.groupBy("split_no", "fold").agg(F.count("*").alias("size"))
+    grid = folds.select("split_no").distinct().crossJoin(want).join(found, ["split_no", "fold"], "full").withColumn("size", F.coalesce("size", F.lit(0)))
+    wrong = F.when(~F.col("want").eqNullSafe(F.col("size")), F.concat("fold", F.lit(" has "), "size", F.lit(", not "), F.coalesce(F.col("want").cast("string"), F.lit("any"))))
+    bad = grid.groupBy("split_no").agg(F.array_sort(F.collect_list(wrong)).alias("bad"))
+    checked = out.join(bad, "split_no")
+    return checked.withColumn("n", F.when(F.size("bad") > 0, F.raise_error(F.concat(F.lit("split "), "split_no", F.lit(": "), F.array_join("bad", "; "))).cast("long")).otherwise(F.col("n"))).drop("bad")

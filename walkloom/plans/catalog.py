@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return put
 
 
-from walkloom.plans import on_encodings, on_graphs, on_large, on_points, on_rules, on_tables  # noqa: E402, F401  they register their queries here
+from walkloom.plans import on_encodings, on_files, on_graphs, on_large, on_points, on_rules, on_tables  # noqa: E402, F401  they register their queries here

@@ -100,11 +100,22 @@ def fixed_split(spark, d):
     return rows.groupBy(F.when(r < 6, "train").when(r < 8, "valid").otherwise("test").alias("fold")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) only_a, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) only_b")
+@query("""WITH x AS (SELECT 'only_a' side, doc_id k FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'only_b', doc_id FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)),
+s AS (SELECT * FROM (VALUES ('only_a'), ('only_b')) t(side)) SELECT s.side, count(k) n, coalesce(array_to_string(list(k ORDER BY k) FILTER (k IS NOT NULL)[1:5], ','), '') sample FROM s LEFT JOIN x USING (side) GROUP BY s.side""")
 def audit_bijection(spark, d):
-    a, b = (read(spark, d, t).select("doc_id").distinct() for t in ("documents", "labels"))
-    only = lambda x, y, n: x.join(y, "doc_id", "left_anti").agg(F.count("*").alias(n))
-    return only(a, b, "only_a").crossJoin(only(b, a, "only_b"))
+    found = splits.key_audit(read(spark, d, "documents"), read(spark, d, "labels"), "doc_id")
+    return found.select("side", "n", F.array_join(F.transform("sample", lambda x: x.cast("string")), ",").alias("sample"))
+
+
+@query("""WITH f AS (SELECT 0 split_no, doc_id id FROM labels UNION ALL SELECT 0, doc_id FROM labels WHERE quality = 1 UNION ALL SELECT 1, doc_id FROM labels WHERE toxic = 0), c AS (SELECT split_no, id, count(*) k FROM f GROUP BY ALL),
+k AS (SELECT DISTINCT doc_id id FROM documents WHERE n_chars >= 100), e AS (SELECT s split_no, id FROM k, range(2) t(s)), j AS (SELECT coalesce(c.split_no, e.split_no) split_no, c.k, c.id a, e.id b FROM c FULL JOIN e ON c.split_no = e.split_no AND c.id = e.id)
+SELECT split_no, CAST(coalesce(sum(k), 0) AS BIGINT) n, count(*) FILTER (k > 1) repeated, count(*) FILTER (a IS NULL) missing, count(*) FILTER (b IS NULL) unknown FROM j GROUP BY split_no""")
+def audit_folds(spark, d):
+    """Overlapping and incomplete folds, against the documents of 100 characters or more."""
+    x = read(spark, d, "labels").withColumnRenamed("doc_id", "id")
+    rows = lambda k, df, fold: df.select(F.lit(k).alias("split_no"), "id", F.lit(fold).alias("fold"))
+    folds = rows(0, x, "train").unionByName(rows(0, x.where("quality = 1"), "test")).unionByName(rows(1, x.where("toxic = 0"), "train"))
+    return splits.fold_audit(folds, read(spark, d, "documents").where("n_chars >= 100").select(F.col("doc_id").alias("id")))
 
 
 # ---- targets and metrics -------------------------------------------------------------------------------------------------------------

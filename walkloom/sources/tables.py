@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,16 +43,21 @@ def read_labelled_csv(spark: SparkSession, path: str, idx_text: int, idx_y: int)
 
 
 def run_keys(path: Column) -> list[Column]:
-    """model, m, target, seed from a path .../<model>_m<m>/<target>/split<seed>/<file>; the model may be missing, and all are null elsewhere."""
-    shape = r"([^/]*?)_?m([0-9]+)/([^/]+)/(?:split|seed)([0-9]+)/[^/]+$"
+    """model, m, target, seed from a path .../<model>_m<m>/<target>/split<seed>/<file>, also with names before the values (a=<model>_m<m>/...); the
+    model may be missing, and all are null elsewhere."""
+    shape = r"(?:^|/)(?:[^/=]+=)?([^/=]*?)_?m([0-9]+)/(?:[^/=]+=)?([^/]+)/(?:[^/=]+=)?(?:split|seed)([0-9]+)/[^/]+$"
     part = lambda k: F.nullif(F.regexp_extract(path, shape, k), F.lit(""))
     return [part(1).alias("model"), part(2).cast("int").alias("m"), part(3).alias("target"), part(4).cast("int").alias("seed")]
 
 
-def read_run_metrics(spark: SparkSession, root: str) -> DataFrame:
-    """One row per readable metrics file below root, with its path and the keys that stand in the path; only a file's first JSON object counts, unreadable files are left out."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    return files.select("path", F.from_json("value", METRICS).alias("r")).where("r is not null and (r.summary is not null or r.splits is not null or r.test_mae is not null)").select("path", *run_keys(F.col("path")), "r.*")
+def read_run_metrics(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
+    """One row per readable metrics file below root, with its path and the keys that stand in the path; only a file's first JSON object counts.
+    Files whose first object is cut off, or that hold no object or no result, are left out."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    # The parser stops after the first object; one that breaks off before its end is kept as corrupt.
+    read = files.select("path", F.from_json("value", f"{METRICS}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r")).where("r is not null and r._corrupt is null")
+    read = read.withColumn("r", F.col("r").dropFields("_corrupt"))
+    return read.where("r is not null and (r.summary is not null or r.splits is not null or r.test_mae is not null)").select("path", *run_keys(F.col("path")), "r.*")
 
 
 def parsed_log(line: Column) -> Column:
@@ -83,10 +89,28 @@ def read_graph_tables(spark: SparkSession, nodes: str, edges: str, targets: str
     return tuple(found)
 
 
-def write_target_tables(df: DataFrame, path: str, names: list[str], done: list[str] = ()) -> None:
-    """Rows (g, y array) as one partition per target name; targets already written are skipped."""
-    rows = df.select("g", F.posexplode("y").alias("k", "value")).withColumn("target", F.get(F.array(*map(F.lit, names)), F.col("k")))
-    rows.where(F.col("target").isNotNull() & ~F.col("target").isin(list(done))).select("g", "value", "target").repartition("target", F.pmod("g", F.lit(16))).write.mode("append").partitionBy("target").parquet(path)
+def written_targets(spark: SparkSession, path: str) -> DataFrame:
+    """target, n: the partitions that are under path and their rows; none if nothing is there yet."""
+    try:
+        found = spark.read.schema("g long, value double, target string").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "target string, n long")
+    return found.groupBy("target").agg(F.count("*").alias("n"))
+
+
+def write_target_tables(df: DataFrame, path: str, names: list[str]) -> None:
+    """Rows (g, y array) as one partition per target name. Targets that stand under path with all their rows are left alone; others, also those of
+    which a run that broke off left a part, are written whole in their place. So a retry ends in the same tables."""
+    target = F.get(F.array(*map(F.lit, names)), F.col("k"))
+    rows = df.select("g", F.posexplode("y").alias("k", "value")).select("g", F.col("value").cast("double").alias("value"), target.alias("target")).where("target is not null")
+    wanted = rows.groupBy("target").agg(F.count("*").alias("n"))  # a row for each name
+    open_ = wanted.join(written_targets(df.sparkSession, path), ["target", "n"], "left_anti").select("target")
+    open_ = written(open_, "targets")  # decided before anything is written
+    if not open_.isEmpty():
+        left = rows.join(F.broadcast(open_), "target", "left_semi").select("g", "value", "target")
+        left.repartition("target", F.pmod("g", F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target").parquet(path)
 
 
 def write_walks(walks: DataFrame, path: str) -> None:
