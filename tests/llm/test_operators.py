@@ -144,6 +144,27 @@ def test_personal_data_equals_brute_force(spark):
     assert pii.personal_data(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_personal_data_adds_no_decoys(spark):
+    """Numbers that fail the check digit, long runs of digits and 00 runs without gaps are no spans; planted ones among them are found."""
+    import random
+
+    rng = random.Random(9)
+    run = lambda n: str(rng.randrange(1, 10)) + "".join(rng.choices("0123456789", k=n - 1))
+
+    def luhn(digits):
+        return sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
+
+    decoys = [x for x in (run(rng.choice((15, 16))) for _ in range(400)) if not luhn(x)]
+    decoys += [f"{a[:4]} {a[4:8]} {a[8:12]} {a[12:]}" for a in (run(16) for _ in range(200)) if not luhn(a)]
+    decoys += ["00" + run(14) for _ in range(100)]
+    rows = [(k, f"the figure {x} stands in plain prose", "x") for k, x in enumerate(decoys)]
+    real = {5000: "call me at 743-555-3824 on the phone today", 5001: "visa card 4111.1111.1111.1111 credit", 5002: "write mail to jane [at] example [dot] com please"}
+    rows += [(k, t, "x") for k, t in real.items()] * 3
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, f"{DOC}, m string")).collect()}
+    more = {k for k, r in got.items() if len(r["spans"]) > len(r["base_spans"])}
+    assert more <= set(real) and more
+
+
 def test_quality(spark):
     rows = [(k, "plain words of a calm text. " * (k % 7 + 3) if k % 2 else "BUY!! NOW$$$ ###" * (k % 5 + 3)) for k in range(200)] + [(900, None)]
     labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
