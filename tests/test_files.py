@@ -40,3 +40,11 @@ def test_audits(spark):
     with pytest.raises(Exception, match="valid has 0, not 1"):
         splits.fold_audit(folds, keys, {"train": 6, "test": 4, "valid": 1}).collect()
     assert [tuple(r) for r in splits.key_audit(keys, keys.where("id < 3"), "id").collect()] == [("only_a", 7, [3, 4, 5, 6, 7]), ("only_b", 0, [])]
+
+
+def test_fixed_split_asserts_sizes(spark):
+    rows = spark.createDataFrame([(i,) for i in range(6)], "idx long")
+    published = spark.createDataFrame([(i + 1, "train" if i < 4 else "test") for i in range(9)], "id long, fold string")
+    assert sorted(map(tuple, splits.fixed_split(rows, published, "idx", sizes={"train": 4, "test": 2}).collect())) == [(i, "train" if i < 4 else "test") for i in range(6)]
+    with pytest.raises(ValueError, match="test has 2, not 5"):
+        splits.fixed_split(rows, published, "idx", sizes={"train": 4, "test": 5})

@@ -88,3 +88,22 @@ def wall(seconds: Column) -> Column:
     """HhMMmSSs."""
     s = seconds.cast("long")
     return F.concat((s / 3600).cast("long").cast("string"), F.lit("h"), F.lpad(((s % 3600) / 60).cast("long").cast("string"), 2, "0"), F.lit("m"), F.lpad((s % 60).cast("string"), 2, "0"), F.lit("s"))
+
+
+#: From these sizes on a number is shown with so many decimals, smaller ones with four, and none as this.
+DECIMALS, ABSENT = ((100, 2), (1, 3)), "--"
+
+
+def decimals(x: Column, k: int) -> Column:
+    """The number with k decimals, halves away from zero."""
+    q = F.round(F.abs(x) * 10**k).cast("long")
+    sign = F.when((x < 0) & (q > 0), "-").otherwise("")
+    return F.concat(sign, F.floor(q / 10**k).cast("string"), F.lit("."), F.lpad((q % 10**k).cast("string"), k, "0"))
+
+
+def shown(x: Column) -> Column:
+    """The number with decimals by its size."""
+    out = decimals(x, 4)
+    for least, k in reversed(DECIMALS):
+        out = F.when(F.abs(x) >= least, decimals(x, k)).otherwise(out)
+    return F.coalesce(F.when(~F.isnan(x), out), F.lit(ABSENT))

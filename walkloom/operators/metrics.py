@@ -11,7 +11,17 @@ from walkloom.operators.ranks import running
 def mean_mad(rows: DataFrame, by: str) -> DataFrame:
     """Mean and mean absolute deviation of y per group, in two passes."""
     mean = rows.groupBy(by).agg(F.avg("y").alias("mean"))
-    return rows.join(F.broadcast(mean), by).groupBy(by).agg(F.first("mean").alias("mean"), F.avg(F.abs(F.col("y") - F.col("mean"))).alias("mad"), F.count("*").alias("n_train"))
+    return rows.join(mean, by).groupBy(by).agg(F.first("mean").alias("mean"), F.avg(F.abs(F.col("y") - F.col("mean"))).alias("mad"), F.count("*").alias("n_train"))
+
+
+def summarize(rows: DataFrame, by: list[str], value: str, ddof: int = 0) -> DataFrame:
+    """The columns of by, mean, std, lo, hi, n of value: nulls don't count. ddof 0 is the deviation of a population, 1 of a sample, 0 where
+    there is one value only."""
+    if ddof not in (0, 1):
+        raise ValueError("ddof is 0 or 1")
+    x = F.col(value)
+    std = F.stddev_pop(x) if ddof == 0 else F.when(F.count(x) > 1, F.stddev_samp(x)).when(F.count(x) == 1, 0.0)
+    return rows.groupBy(*by).agg(F.avg(x).alias("mean"), std.alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"))
 
 
 def standardized(y: Column, mean: Column, std: Column) -> Column:

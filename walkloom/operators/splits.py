@@ -48,6 +48,21 @@ def take_by_ids(rows: DataFrame, ids: DataFrame, key_col: str = "id") -> DataFra
     return ids.select("ordinal", F.col("id").alias(key_col)).join(rows, key_col)
 
 
+def fixed_split(rows: DataFrame, published: DataFrame, key_col: str, offset: int = -1, sizes: dict[str, int] | None = None) -> DataFrame:
+    """rows with the fold of published (id, fold), whose ids are a row's key less offset; ids that no row has and rows in no fold are left out. With
+    sizes, a fold of another size is an error."""
+    own = published.select((F.col("id") + offset).alias(key_col), "fold").distinct()
+    found = rows.join(own, key_col)
+    if sizes is None:
+        return found
+    counts = found.groupBy("fold").agg(F.count("*").alias("size")).join(found.sparkSession.createDataFrame(list(sizes.items()), "fold string, want long"), "fold", "full")
+    bad = F.concat("fold", F.lit(" has "), F.coalesce("size", F.lit(0)), F.lit(", not "), F.coalesce(F.col("want").cast("string"), F.lit("any")))
+    wrong = counts.where(~F.coalesce("size", F.lit(0)).eqNullSafe(F.col("want"))).agg(F.array_join(F.array_sort(F.collect_list(bad)), "; ").alias("bad")).first()["bad"]
+    if wrong:
+        raise ValueError(wrong)
+    return found
+
+
 def recovered_by_position(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """rows (ordinal, ...) without a key get the id of keys (ordinal, id) at their place; a place that only one of the two has is an error."""
     both = rows.withColumn("__row", F.lit(True)).join(keys.withColumn("__key", F.lit(True)), "ordinal", "full")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from walkloom.operators import attributes, experiments, features, graph, splits, walks
+from walkloom.operators import attributes, experiments, features, graph, metrics, splits, walks
 from walkloom.plans import fixtures as fx
 from walkloom.plans.catalog import query
 from walkloom.plans.fixtures import G1, G2, RUNS, read, runs
@@ -277,3 +277,33 @@ def best_displayed(spark, d):
     shown = F.floor(F.round(F.col("mae") * 1e6).cast("long") / 5000).cast("string")
     cell = F.when(F.col("seed") == 43, "n/a").otherwise(F.concat(shown, F.lit(" +/- 7")))
     return experiments.best_displayed(runs(spark, d).select("model", "target", "m", "seed", "stage", cell.alias("cell")), ["target"])
+
+
+_ALONE = "v AS (SELECT model, target, CASE WHEN m % 4 = 1 THEN mae END x FROM runs WHERE model <> 'A' OR (m = 1 AND seed = 42 AND stage = 'final'))"
+
+
+@query(f"WITH {RUNS}, {_ALONE}, s AS (SELECT model, target, avg(x) mean, stddev_pop(x) p, CASE WHEN count(x) > 1 THEN stddev_samp(x) WHEN count(x) = 1 THEN 0 END q, min(x) lo, max(x) hi, count(x) n FROM v GROUP BY ALL) SELECT model, target, k ddof, round(mean, 6) mean, round(CASE WHEN k = 0 THEN p ELSE q END, 6) std, lo, hi, n FROM s, (SELECT unnest([0, 1]) k)")
+def summarize_ddof(spark, d):
+    """Mean, both deviations, least, most and number of each cell's results, some of one value or none."""
+    x = runs(spark, d).where("model <> 'A' or (m = 1 and seed = 42 and stage = 'final')").withColumn("x", F.when(F.col("m") % 4 == 1, F.col("mae")))
+    each = [metrics.summarize(x, ["model", "target"], "x", k).withColumn("ddof", F.lit(k)) for k in (0, 1)]
+    return each[0].unionByName(each[1]).select("model", "target", "ddof", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "lo", "hi", "n")
+
+
+def _shown_sql(k: int) -> str:
+    q = f"CAST(round(abs(x) * {10**k}) AS BIGINT)"
+    return f"concat(CASE WHEN x < 0 AND {q} > 0 THEN '-' ELSE '' END, {q} // {10**k}, '.', lpad(CAST({q} % {10**k} AS VARCHAR), {k}, '0'))"
+
+
+@query(f"WITH v AS (SELECT l_orderkey g, l_linenumber line, CASE WHEN l_linenumber = 7 THEN NULL ELSE (l_extendedprice - 30000) * l_discount * l_tax END x FROM lineitem) SELECT g, line, CASE WHEN x IS NULL THEN '--' WHEN abs(x) >= 100 THEN {_shown_sql(2)} WHEN abs(x) >= 1 THEN {_shown_sql(3)} ELSE {_shown_sql(4)} END AS shown FROM v")
+def format_adaptive(spark, d):
+    """Numbers of all sizes with decimals by size."""
+    x = F.when(F.col("l_linenumber") != 7, (F.col("l_extendedprice") - 30000) * F.col("l_discount") * F.col("l_tax"))
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("line"), experiments.shown(x.cast("double")).alias("shown"))
+
+
+@query("SELECT doc_id, n_chars % 7 AS y FROM documents WHERE regexp_matches(text, '^[A-Za-z]') AND n_chars % 7 <> 0")
+def valid_rows(spark, d):
+    """Documents that start with a letter and whose target is a number: y is NaN or null for some."""
+    rows = read(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") % 7 == 0, F.when(F.col("doc_id") % 2 == 0, float("nan"))).otherwise((F.col("n_chars") % 7).cast("double")).alias("y"), F.col("text").rlike("^[A-Za-z]").alias("ok"))
+    return tables.valid_rows(rows, F.col("y"), F.col("ok")).select("doc_id", F.col("y").cast("long").alias("y"))

@@ -94,10 +94,9 @@ def group_split(spark, d):
 @query("SELECT CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'valid' ELSE 'test' END fold, count(*) n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1")
 def fixed_split(spark, d):
     # published ids are 1-based; ids that are not in the data are left out
-    published = read(spark, d, "labels").select((F.col("doc_id") + 1).alias("published")).distinct()
-    rows = read(spark, d, "documents").select("doc_id").join(published.select((F.col("published") - 1).alias("doc_id")), "doc_id")
     r = F.col("doc_id") % 10
-    return rows.groupBy(F.when(r < 6, "train").when(r < 8, "valid").otherwise("test").alias("fold")).agg(F.count("*").alias("n"))
+    published = read(spark, d, "labels").select((F.col("doc_id") + 1).alias("id"), F.when(r < 6, "train").when(r < 8, "valid").otherwise("test").alias("fold"))
+    return splits.fixed_split(read(spark, d, "documents").select("doc_id"), published, "doc_id").groupBy("fold").agg(F.count("*").alias("n"))
 
 
 @query("""WITH x AS (SELECT 'only_a' side, doc_id k FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'only_b', doc_id FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)),

@@ -35,11 +35,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def valid_rows(df: DataFrame, y: Column, parsed: Column | None = None) -> DataFrame:
+    """The rows whose y is a number and whose structure could be read; a null flag is a no."""
+    ok = y.isNotNull() & ~F.isnan(y.cast("double"))
+    return df.where(ok if parsed is None else ok & F.coalesce(parsed, F.lit(False)))
+
+
 def read_labelled_csv(spark: SparkSession, path: str, idx_text: int, idx_y: int) -> DataFrame:
     """text and y by ordinal (negative from the end); rows without a number as y are dropped."""
     df = spark.read.option("header", True).csv(path)
     y = F.expr(f"try_cast(`{df.columns[idx_y]}` as double)")
-    return df.select(F.col(f"`{df.columns[idx_text]}`").alias("text"), y.alias("y")).where("text is not null and y is not null and not isnan(y)")
+    return valid_rows(df.select(F.col(f"`{df.columns[idx_text]}`").alias("text"), y.alias("y")), F.col("y"), F.col("text").isNotNull())
 
 
 def run_keys(path: Column) -> list[Column]:
