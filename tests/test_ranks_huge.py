@@ -108,3 +108,30 @@ def test_fingerprint_of_any_order(spark):
     assert one["total"] == str(sum(hashes) % 2**64) and one["mixed"] == f"{mixed:016x}"
     large = splits.fingerprint(spark.createDataFrame([("a", i) for i in ids], "fold string, id long"), ["fold"], most=4).first()
     assert large["digest"] is None and large["mixed"] == one["mixed"]
+
+
+def test_early_stop_of_runs_of_any_length(spark, monkeypatch):
+    from walkloom.operators import experiments
+
+    monkeypatch.setattr(experiments, "BLOCK", 8)
+    rng = random.Random(6)
+    rows, want = [], {}
+    for run in range(60):
+        n, level = rng.choice((1, 3, 12, 40, 150)), 1.0
+        values = []
+        for _ in range(n):
+            level *= rng.choice((1.0, 0.97, 0.999))
+            values.append(rng.choice((level, level + rng.random() * 0.2, None if rng.random() < 0.1 else level)))
+        best, at, bad, last = float("inf"), -1, 0, -1
+        for e, v in enumerate(values):
+            if bad >= 4:
+                break
+            last = e
+            if v is not None and v < best - 0.01:
+                best, at, bad = v, e, 0
+            else:
+                bad += 1
+        rows += [(run, 2 * e, v) for e, v in enumerate(values)]
+        want[run] = (best, 2 * at if at >= 0 else -1, 2 * last)
+    got = experiments.early_stop(spark.createDataFrame(rows, "run long, epoch int, valid double").repartition(3), 0.01, 4).collect()
+    assert {r["run"]: (r["best"], r["best_epoch"], r["last_epoch"]) for r in got} == want

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from walkloom.operators.ranks import running
+
+#: Epochs of a run that one task looks at.
+BLOCK = 4096
+
 
 #: Order of the places where a report looks for a run's test error.
 _FIRST = [f"get(splits, 0).{c}" for c in ("final_test_mae", "test_mae", "best_test_mae")]
@@ -55,16 +60,31 @@ def best_per(rows: DataFrame, by: list[str], value: Column, tie: list[str], larg
 
 
 def early_stop(epochs: DataFrame, min_delta: float = 1e-6, patience: int = 10) -> DataFrame:
-    """run, best, best_epoch, last_epoch: replay of early stopping; improved if v < best - min_delta, stopped after `patience` without."""
-    row = F.array_sort(F.collect_list(F.struct("epoch", "valid")))
-    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(-1).alias("best_epoch"), F.lit(-1).alias("last_epoch"), F.lit(0).alias("bad"))
+    """run, best, best_epoch, last_epoch: replay of early stopping; improved if v < best - min_delta, stopped after `patience` without.
+
+    Whatever improves is lower than all before it, so only such epochs of a run meet in one row: a handful, however long the run is. They are
+    found, and numbered, by ranges of epochs.
+    """
+    placed = running(epochs.select("run", "epoch", "valid"), [F.col("epoch")], group=["run"])
+    block = F.floor(F.col("ahead") / BLOCK).alias("block")
+    lows = placed.groupBy("run", block).agg(F.min("valid").alias("low"))
+    before = Window.partitionBy("run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of a run
+    lows = lows.select(F.col("run").alias("r"), F.col("block").alias("b"), F.min("low").over(before).alias("earlier"))
+    own = placed.withColumn("block", block)
+    inner = Window.partitionBy("run", "block").orderBy("ahead").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("inside", F.min("valid").over(inner)).join(lows, own.run.eqNullSafe(F.col("r")) & (F.col("block") == F.col("b")))
+    lower = own.where(F.coalesce(F.col("valid") < F.least("earlier", "inside"), F.lit(True)))
+    row = F.array_sort(F.collect_list(F.struct("ahead", "epoch", "valid")))
+    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(-1).alias("best_epoch"), F.lit(-1).cast("long").alias("at"))
 
     def step(s: Column, x: Column) -> Column:
+        over = x["ahead"] - s["at"] > patience  # epochs since the best, or since the start, have run out
         better = x["valid"] < s["best"] - min_delta
-        nxt = F.struct(F.when(better, x["valid"]).otherwise(s["best"]).alias("best"), F.when(better, x["epoch"]).otherwise(s["best_epoch"]).alias("best_epoch"), x["epoch"].alias("last_epoch"), F.when(better, 0).otherwise(s["bad"] + 1).alias("bad"))
-        return F.when(s["bad"] >= patience, s).otherwise(nxt)
+        return F.when(over | ~F.coalesce(better, F.lit(False)), s).otherwise(F.struct(x["valid"].alias("best"), x["epoch"].alias("best_epoch"), x["ahead"].alias("at")))
 
-    return epochs.groupBy("run").agg(row.alias("e")).select("run", F.aggregate("e", start, step).alias("s")).select("run", "s.best", "s.best_epoch", "s.last_epoch")
+    ends = lower.groupBy("run").agg(row.alias("e"), F.max("total").alias("total")).select("run", "total", F.aggregate("e", start, step).alias("s"))
+    ends = ends.select(F.col("run").alias("r"), "s.best", "s.best_epoch", F.least(F.col("s.at") + patience, F.col("total") - 1).alias("last"))
+    return placed.join(ends, placed.run.eqNullSafe(F.col("r")) & (F.col("ahead") == F.col("last"))).select("run", "best", "best_epoch", F.col("epoch").alias("last_epoch"))
 
 
 def prefer_final(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -39,7 +39,7 @@ def fingerprint(ids: DataFrame, by: list[str], most: int = 1_000_000) -> DataFra
     sums = ids.withColumn("__bits", bits).groupBy(*by).agg(F.count("*").alias("n"), F.pmod(F.sum(h.cast("decimal(38,0)")), F.expr("cast('18446744073709551616' as decimal(20,0))")).cast("string").alias("total"), F.lower(F.lpad(F.hex(F.expr("bit_xor(__bits)")), 16, "0")).alias("mixed"))
     small = sums.where(F.col("n") <= most).select(*by)
     little = F.transform(F.array_sort(F.collect_list(F.col("id").cast("long"))), lambda x: F.reverse(F.regexp_extract_all(F.lpad(F.hex(x), 16, "0"), F.lit("(..)"), F.lit(1))))
-    exact = ids.join(F.broadcast(small), by).groupBy(*by).agg(F.sha2(F.unhex(F.array_join(F.flatten(little), "")), 256).alias("digest"))
+    exact = ids.join(small, by).groupBy(*by).agg(F.sha2(F.unhex(F.array_join(F.flatten(little), "")), 256).alias("digest"))
     return sums.join(exact, by, "left")
 
 
@@ -74,24 +74,26 @@ def key_audit(a: DataFrame, b: DataFrame, key_col: str, sample: int = 5) -> Data
     """side (only_a, only_b), n, sample: how many keys of one table the other lacks, and the first few of them; two rows, also where all is well."""
     def only(x: DataFrame, y: DataFrame, side: str) -> DataFrame:
         lone = x.select(key_col).distinct().join(y.select(key_col).distinct(), key_col, "left_anti")
-        few = F.array_sort(F.collect_list(key_col))  # of the limited rows: each part's first few, then of all
-        return lone.agg(F.count("*").alias("n")).crossJoin(lone.orderBy(key_col).limit(sample).agg(few.alias("sample"))).select(F.lit(side).alias("side"), "n", "sample")
+        n = lone.agg(F.lit(side).alias("side"), F.count("*").alias("n")).withColumn("k", F.lit(None).cast(lone.schema[0].dataType))
+        return n.unionByName(lone.orderBy(key_col).limit(sample).select(F.lit(side).alias("side"), F.lit(0).cast("long").alias("n"), F.col(key_col).alias("k")))
 
-    return only(a, b, "only_a").unionByName(only(b, a, "only_b"))
+    both = only(a, b, "only_a").unionByName(only(b, a, "only_b"))
+    return both.groupBy("side").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("k")).alias("sample"))
 
 
 def fold_audit(folds: DataFrame, keys: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
     """split_no, n, repeated, missing, unknown of folds (split_no, id, fold) over keys (id): ids in several folds or twice in one, keys in no fold, ids
     that are no key. With sizes, a fold of another size is an error, named with both sizes."""
-    per = folds.groupBy("split_no", "id").agg(F.count("*").alias("k"))
-    every = folds.select("split_no").distinct().crossJoin(keys.select("id").distinct())  # a few splits
-    both = per.join(every.withColumn("known", F.lit(True)), ["split_no", "id"], "full")
-    out = both.groupBy("split_no").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.count_if(F.col("k") > 1).alias("repeated"), F.count_if(F.col("k").isNull()).alias("missing"), F.count_if(F.col("known").isNull()).alias("unknown"))
+    known = keys.select("id").distinct().withColumn("known", F.lit(True))
+    per = folds.groupBy("split_no", "id").agg(F.count("*").alias("k")).join(known, "id", "left")
+    n_keys = known.count()
+    out = per.groupBy("split_no").agg(F.sum("k").alias("n"), F.count_if(F.col("k") > 1).alias("repeated"), (n_keys - F.count("known")).alias("missing"), F.count_if(F.col("known").isNull()).alias("unknown"))
     if sizes is None:
         return out
-    want = folds.sparkSession.createDataFrame(list(sizes.items()), "fold string, want long")
+    wants = F.array(*[F.struct(F.lit(f).alias("fold"), F.lit(n).cast("long").alias("want")) for f, n in sizes.items()])
+    want = folds.select("split_no").distinct().select("split_no", F.explode(wants).alias("w")).select("split_no", "w.fold", "w.want")
     found = folds.groupBy("split_no", "fold").agg(F.count("*").alias("size"))
-    grid = folds.select("split_no").distinct().crossJoin(want).join(found, ["split_no", "fold"], "full").withColumn("size", F.coalesce("size", F.lit(0)))
+    grid = want.join(found, ["split_no", "fold"], "full").withColumn("size", F.coalesce("size", F.lit(0)))
     wrong = F.when(~F.col("want").eqNullSafe(F.col("size")), F.concat("fold", F.lit(" has "), "size", F.lit(", not "), F.coalesce(F.col("want").cast("string"), F.lit("any"))))
     bad = grid.groupBy("split_no").agg(F.array_sort(F.collect_list(wrong)).alias("bad"))
     checked = out.join(bad, "split_no")

@@ -140,7 +140,7 @@ def mean_mad(spark, d):
 def standardize(spark, d):
     rows = _targets(spark, d)
     s = rows.groupBy("target").agg(F.avg("y").alias("mean"), F.stddev_samp("y").alias("std"))
-    z = rows.join(F.broadcast(s), "target").withColumn("z", metrics.standardized(F.col("y"), F.col("mean"), F.col("std")))
+    z = rows.join(s, "target").withColumn("z", metrics.standardized(F.col("y"), F.col("mean"), F.col("std")))
     back = F.abs(F.col("z") * F.greatest("std", F.lit(1e-8)) + F.col("mean") - F.col("y"))
     return z.groupBy("target").agg(F.round(F.min("z"), 5).alias("least"), F.round(F.max("z"), 5).alias("most"), F.round(F.max(back), 3).alias("err"))
 
@@ -215,7 +215,8 @@ _MANIFEST = "man AS (SELECT a.model, b.target, m, seed FROM (SELECT DISTINCT l_r
 
 def _manifest(spark, d):
     x = read(spark, d, "lineitem")
-    grid = x.select(F.col("l_returnflag").alias("model")).distinct().crossJoin(x.select(F.col("l_linestatus").alias("target")).distinct())
+    named = x.agg(F.collect_set("l_returnflag").alias("models"), F.collect_set("l_linestatus").alias("targets"))  # a few names
+    grid = named.select(F.explode("models").alias("model"), "targets").select("model", F.explode("targets").alias("target"))
     return grid.withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("seed", F.explode(F.array(*map(F.lit, (42, 43, 44)))))
 
 
@@ -297,7 +298,7 @@ def share_within(spark, d):
 def pooled_std_verdict(spark, d):
     s = runs(spark, d).groupBy("model", "target").agg(F.avg("mae").alias("mean"), F.coalesce(F.stddev_samp("mae"), F.lit(0.0)).alias("std"))
     r = s.where("model = 'N'").select("target", F.col("mean").alias("rm"), F.col("std").alias("rs"))
-    return s.join(F.broadcast(r), "target").select("model", "target", (F.col("mean") < F.col("rm") + F.sqrt((F.col("std") ** 2 + F.col("rs") ** 2) / 2)).alias("competitive"))
+    return s.join(r, "target").select("model", "target", (F.col("mean") < F.col("rm") + F.sqrt((F.col("std") ** 2 + F.col("rs") ** 2) / 2)).alias("competitive"))
 
 
 @query(f"WITH {RUNS}, s AS (SELECT model, target, CAST(sum(CAST(round(mae * 1e6) AS BIGINT)) AS DOUBLE) / count(*) mean FROM runs GROUP BY ALL) SELECT s.model, s.target, round((s.mean - r.mean) / 1000, 4) delta, abs((s.mean - r.mean) / 1000) <= 2 is_null FROM s JOIN s r ON r.target = s.target AND r.model = 'N'")
@@ -311,7 +312,7 @@ def delta_vs_base(spark, d):
 @query(f"WITH {RUNS}, s AS (SELECT model, target, avg(mae) mean FROM runs GROUP BY ALL) SELECT model, target, CASE WHEN target = 'F' THEN printf('%.3f', mean / 0.05) ELSE '?' END ratio FROM s")
 def ratio_to_reference(spark, d):
     known = spark.createDataFrame([("F", 0.05)], "target string, known double")
-    s = runs(spark, d).groupBy("model", "target").agg(F.avg("mae").alias("mean")).join(F.broadcast(known), "target", "left")
+    s = runs(spark, d).groupBy("model", "target").agg(F.avg("mae").alias("mean")).join(known, "target", "left")
     return s.select("model", "target", F.when(F.col("known").isNull(), "?").otherwise(F.format_string("%.3f", F.col("mean") / F.col("known"))).alias("ratio"))
 
 
