@@ -61,6 +61,6 @@ def test_stacked_powers_equal_joins(spark):
         nodes += [(g, v, 0) for v in range(n)]
         pairs += [(g, rng.randrange(n), rng.randrange(n)) for _ in range(n // 2)]
     nodes, edges = spark.createDataFrame(nodes, "g long, v int, z int"), graph.undirected(spark.createDataFrame(pairs, "g long, u int, v int"))
-    joined = {(r["g"], r["v"], r["step"]): r["p"] for r in graph.rwse(nodes, edges, 4).collect()}
+    joined = {(r["g"], r["v"], r["step"]): r["p"] for r in graph.rwse(nodes, edges, 4, joins=True).collect()}
     stacked = {(r["g"], r["v"], k + 1): p for r in spectra.rwse(graph.packed(nodes, edges), 4).collect() for k, p in enumerate(r["p"])}
     assert joined.keys() == stacked.keys() and all(abs(joined[k] - stacked[k]) < 1e-12 for k in joined)

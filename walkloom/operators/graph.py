@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from walkloom.functions import geometry
 
 
-#: Steps of rwse that go by joins.
-JOINED = 4
-
-
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of every edge once."""
     return edges.select("g", "u", "v").unionByName(edges.select("g", F.col("v").alias("u"), F.col("u").alias("v"))).dropDuplicates(["g", "u", "v"])
@@ -86,10 +82,10 @@ def wl_keys(nodes: DataFrame, edges: DataFrame, label: Column, rounds: int = 2)
     return colours.groupBy("g").agg(F.md5(F.array_join(F.array_sort(F.collect_list("c")), ",")).alias("wl_key"))
 
 
-def rwse(nodes: DataFrame, edges: DataFrame, steps: int = 3) -> DataFrame:
-    """g, v, step, p: probability that a uniform walk is back at its start after 1..steps steps. Joins up to JOINED steps, which need no graph in
-    one row; beyond, where they fill in, powers of packed graphs."""
-    if steps > JOINED:
+def rwse(nodes: DataFrame, edges: DataFrame, steps: int = 3, joins: bool = False) -> DataFrame:
+    """g, v, step, p: probability that a uniform walk is back at its start after 1..steps steps, by powers of packed graphs. joins: by joins, for few
+    steps on graphs that don't fit one row."""
+    if not joins:
         from walkloom.operators import spectra
 
         return spectra.rwse(packed(nodes, edges), steps).select("g", "v", F.posexplode("p").alias("step", "p")).withColumn("step", F.col("step") + 1)
