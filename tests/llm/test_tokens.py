@@ -31,3 +31,30 @@ def test_the_cache_is_bounded_in_bytes(monkeypatch):
     for k in range(30):
         tokens.encode(path, "byte", pa.array([" ".join(f"w{k}x{j}y" for j in range(200)) + " " + "q" * 100_000]))
         assert tokens._loaded[path].used() < (1 << 16) + 200_000
+
+
+@pytest.mark.parametrize("most", [1 << 25, 300])
+def test_shards_of_any_size_read_alike(spark, tmp_path, most):
+    """Null and repeated ids, empty and long texts, clashing columns, in one shard or many."""
+    from tokenizers import Tokenizer
+
+    from walkloom.llm import token_store
+
+    path = P.path("byte_bpe_50k.json")
+    plain, rng = Tokenizer.from_file(path), random.Random(2)
+    rows = [(k if k % 9 else None, rng.choice((None, "", "word " * rng.randint(1, 300), f"text {k} é"))) for k in range(1, 90)] + [(40, "a b"), (40, "a b"), (40, "longer text"), (7, "x" * 30_000)]
+    df = spark.createDataFrame([(i, t, 5, "p") for i, t in rows], "doc_id long, text string, shard int, path string")
+    root = f"file://{tmp_path}/store"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # a shard is closed after a slice of a batch
+    try:
+        manifest = token_store.write_store(df, root, path, "byte", 2, most=most)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = token_store.read_store(manifest, root).orderBy("start").collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, len(r[1] or ""), r[1] or ""))
+    start = 0
+    for r, (i, t) in zip(got, order, strict=True):
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (r["doc_id"], r["start"], r["n_tokens"]) == (i, start, len(ids)) and r["ids"] == b"".join(x.to_bytes(4, "little") for x in ids)
+        start += len(ids)
+    assert (manifest.count() > 10) == (most == 300)

@@ -28,7 +28,9 @@ _HEAD = "<4sBBHQQQQII"
 _EVERY = 256
 #: Stands for a null document id in a shard.
 NO_ID = -(1 << 63)
-_MANIFEST = "shard int, path string, docs long, ids long"
+#: A shard is closed at so many ids (64 MB of two bytes each); numbers that one range of ids has for its shards.
+SHARD_IDS, SHARDS = 1 << 25, 1 << 24
+_MANIFEST = "shard long, path string, docs long, ids long"
 
 
 class EliasFano:
@@ -88,29 +90,36 @@ class EliasFano:
         return lo
 
 
-def _write(root: str, tokenizer: str, kind: str, end_id: int, id_bytes: int) -> Callable:
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, sizes, parts, shard = [], [], [], 0
-        for some in (x for batch in batches for x in slices(batch, "text", SLICE)):
-            shard = some.column("part")[0].as_py()
-            ids, at = with_ends(*encode(tokenizer, kind, some.column("text")), end_id)
-            docs.append(some.column("doc_id").fill_null(NO_ID).to_numpy())
-            sizes.append(np.diff(at))
-            parts.append(ids.astype(f"<u{id_bytes}").tobytes())
-        if not docs:
-            return
-        docs, ends = np.concatenate(docs), np.cumsum(np.concatenate(sizes))
+def _write(root: str, tokenizer: str, kind: str, end_id: int, id_bytes: int, most: int) -> Callable:
+    """Shards of one range of ids: a task closes one when it holds `most` ids, so memory doesn't grow with the range."""
+    def closed(shard: int, docs: list[np.ndarray], sizes: list[np.ndarray], parts: list[bytes]) -> pa.RecordBatch:
+        names, ends = np.concatenate(docs), np.cumsum(np.concatenate(sizes))
         ef, total = EliasFano.of(ends), int(ends[-1])
         store, base = fs.FileSystem.from_uri(root)
-        path = f"{base}/shard-{shard:06d}-{uuid.uuid4().hex}.wlt"  # a retried task writes a file of its own; the manifest names one
+        path = f"{base}/shard-{shard:012d}-{uuid.uuid4().hex}.wlt"  # a retried task writes files of its own; the manifest names one
         store.create_dir(base, recursive=True)
         with store.open_output_stream(path) as out:
-            out.write(struct.pack(_HEAD, b"WLT1", id_bytes, ef.low_bits, 0, len(docs), total, len(ef.high), len(ef.low), len(ef.directory), 0))
-            for x in (docs.astype("<i8"), ef.directory.astype("<u4"), ef.low, ef.high):
+            out.write(struct.pack(_HEAD, b"WLT1", id_bytes, ef.low_bits, 0, len(names), total, len(ef.high), len(ef.low), len(ef.directory), 0))
+            for x in (names.astype("<i8"), ef.directory.astype("<u4"), ef.low, ef.high):
                 out.write(x.tobytes())
             for x in parts:
                 out.write(x)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "docs": [len(docs)], "ids": [total]})
+        return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [path], "docs": [len(names)], "ids": [total]})
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, sizes, parts, held, shard = [], [], [], 0, None
+        for some in (x for batch in batches for x in slices(batch, "text", SLICE)):
+            shard = some.column("part")[0].as_py() * SHARDS if shard is None else shard
+            ids, at = with_ends(*encode(tokenizer, kind, some.column("text")), end_id)
+            docs.append(some.column("doc_id").fill_null(NO_ID).to_numpy())
+            sizes.append(np.diff(at))
+            parts.append(ids.astype(f"<u{id_bytes}").tobytes())
+            held += len(ids)
+            if held >= most:
+                yield closed(shard, docs, sizes, parts)
+                docs, sizes, parts, held, shard = [], [], [], 0, shard + 1
+        if docs:
+            yield closed(shard, docs, sizes, parts)
 
     return task
 
@@ -136,8 +145,8 @@ class Shard:
         return np.frombuffer(self.file.read((end - begin) * self.id_bytes), f"<u{self.id_bytes}").astype("<u4")
 
 
-def write_store(docs: DataFrame, root: str, tokenizer: str, kind: str, end_id: int, id_bytes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write shards under root; the manifest: shard, path, docs, ids, base (ids of all earlier shards), as a table.
+def write_store(docs: DataFrame, root: str, tokenizer: str, kind: str, end_id: int, id_bytes: int = 2, id_col: str = "doc_id", text_col: str = "text", most: int = SHARD_IDS) -> DataFrame:
+    """Write shards of about `most` ids at most under root; the manifest: shard, path, docs, ids, base (ids of all earlier shards), as a table.
 
     Texts are encoded whole, a null text as an empty one, and each is followed by end_id. Rows with a null id come first, under the
     smallest 64-bit number, and are read back with a null id. Rows that repeat an id are all written, the shorter text first. Columns besides
@@ -146,7 +155,7 @@ def write_store(docs: DataFrame, root: str, tokenizer: str, kind: str, end_id: i
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
-    found = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_write(root, tokenizer, kind, end_id, id_bytes), _MANIFEST)
+    found = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_write(root, tokenizer, kind, end_id, id_bytes, most), _MANIFEST)
     found = written(found, "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over one row per shard
     return found.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
