@@ -24,6 +24,30 @@ def test_exact_groups(spark):
     assert exact_dedup.exact_groups(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_exact_groups_over_many_batches(spark):
+    """Runs of copies that begin, go on and end anywhere in batches of three rows, against plain grouping."""
+    import random
+    import re
+    from hashlib import sha256
+
+    rng = random.Random(8)
+    texts = ["a", "b b", "c", *(f"own {k}" for k in range(40)), "", None]
+    rows = [(i, rng.choice(texts[:3] if rng.random() < 0.6 else texts)) for i in range(400)] + [(i, "b b" + " " * (i % 5)) for i in range(400, 500)] + [(None, "a")]
+    groups: dict = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0d]", "", t or ""), []).append((-len(t or ""), i is None, i or 0, i))
+    want = []
+    for key, own in groups.items():
+        best = min(own)
+        want += [(str(i), str(best[3]), len(own), (n, none, k) == best[:3], sha256(key.encode()).hexdigest()) for n, none, k, i in own]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = exact_dedup.exact_groups(spark.createDataFrame([(i, t, "x") for i, t in rows], f"{DOC}, key string").repartition(5)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"], r["text_sha256"]) for r in got) == sorted(want)
+
+
 def test_line_dedup(spark):
     rows = [(k, f"own {k}\n Share this \nmore {k}", "a") for k in range(20)] + [(99, None, None), (100, "Share this", "b")]
     got = {r["doc_id"]: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, f"{DOC}, source string")).collect()}

@@ -23,15 +23,17 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.binary()), ("par
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number the runs of equal texts in one sorted partition; only the ids and digests of the open run are kept."""
-    held, last, part = None, None, 0
+    held, last, part, at = [], None, 0, -1  # pieces of the open run, its text, the partition, the run's number
 
-    def sized(ids: pa.Array, sha: pa.Array, run: np.ndarray, closing: bool) -> pa.RecordBatch:
+    def sized(pieces: list[tuple], closing: bool) -> pa.RecordBatch:
+        ids, sha = (pa.concat_arrays([p[k] for p in pieces]) for k in (0, 1))
+        run = np.concatenate([p[2] for p in pieces])
         start = np.flatnonzero(np.diff(run, prepend=run[0] - 1))
         n = np.diff(start, append=len(run))
         head = np.zeros(len(run), bool)
         head[start] = True
-        at = np.repeat(start, n)
-        return pa.RecordBatch.from_arrays([ids, sha, pa.repeat(pa.scalar(part, pa.int32()), len(run)), pa.array(run), pa.array(np.repeat(n, n)), pa.array(head), ids.take(pa.array(at)), pa.array(run == 0), pa.repeat(closing, len(run))], schema=_SCHEMA)
+        first = np.repeat(start, n)
+        return pa.RecordBatch.from_arrays([ids, sha, pa.repeat(pa.scalar(part, pa.int32()), len(run)), pa.array(run), pa.array(np.repeat(n, n)), pa.array(head), ids.take(pa.array(first)), pa.array(run == 0), pa.repeat(closing, len(run))], schema=_SCHEMA)
 
     for batch in batches:
         if not batch.num_rows:
@@ -42,16 +44,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh[0] = last is None or last != key[0]
         if len(key) > 1:
             fresh[1:] = ~pc.equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
-        last = key[len(key) - 1]
-        run = np.cumsum(fresh) + (held[2][-1] if held else -1)
-        if held:
-            ids, sha, run = pa.concat_arrays([held[0], ids]), pa.concat_arrays([held[1], sha]), np.concatenate([held[2], run])
+        run = np.cumsum(fresh) + at
         cut = int(np.searchsorted(run, run[-1]))
-        held = ids.slice(cut), sha.slice(cut), run[cut:]
-        if cut:
-            yield sized(ids.slice(0, cut), sha.slice(0, cut), run[:cut], False)
+        done = [*held, *([(ids.slice(0, cut), sha.slice(0, cut), run[:cut])] if cut else [])]
+        rest = (ids.slice(cut), sha.slice(cut), run[cut:])
+        if run[-1] == at:  # the whole batch goes on with the open run
+            held.append(rest)
+        else:
+            if done:
+                yield sized(done, False)
+            held = [rest]
+        last, at = key[len(key) - 1], int(run[-1])
     if held:
-        yield sized(*held, True)
+        yield sized(held, True)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
