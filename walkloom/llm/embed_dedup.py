@@ -3,7 +3,7 @@
 Equal vectors form a class. Classes are dealt into shards of bounded size; a task builds a shard's graph and the local groups that its
 own searches link. Every class then visits every shard: its beam finds the local groups it links to, and all its links into a group
 are counted exactly, by angles to the group's centre where those decide (nearly all members of a tight group, at once) and by cosine in
-double precision elsewhere, so a large group makes no pairs. Before that, an audit searches a set of vectors with ever wider beams,
+double precision elsewhere, so a large group makes no pairs; a link that only one side's search has met is counted on both. Before that, an audit searches a set of vectors with ever wider beams,
 compares with all vectors of the shard, and takes the first beam that reaches the wanted recall; if none does, shards are compared in full.
 """
 
@@ -163,7 +163,7 @@ class Shard:
         return total, homes
 
 
-def _visited(least: float, answer: Callable[[Shard, np.ndarray, np.ndarray], pa.RecordBatch]) -> Callable:
+def _visited(least: float, answer: Callable[[Shard, pa.Table, np.ndarray], pa.RecordBatch]) -> Callable:
     """Sorted rows of one shard after another, first its index (kind 0), then those that visit it: answers for these."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts, shard, wait = None, [], None, []
@@ -175,7 +175,7 @@ def _visited(least: float, answer: Callable[[Shard, np.ndarray, np.ndarray], pa.
                     shard, parts = Shard(pa.concat_tables(parts), least), []
                 rows = pa.concat_tables(wait)
                 wait = []
-                yield answer(shard, rows.column("node").to_numpy(), _unit(rows.column("x").to_pylist(), key[0]))
+                yield answer(shard, rows, _unit(rows.column("x").to_pylist(), key[0]))
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -199,7 +199,8 @@ def _visited(least: float, answer: Callable[[Shard, np.ndarray, np.ndarray], pa.
 
 
 def _answers(beam: int | None) -> Callable:
-    def answer(shard: Shard, node: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+    def answer(shard: Shard, rows: pa.Table, q: np.ndarray) -> pa.RecordBatch:
+        node = rows.column("node").to_numpy()
         total, homes = shard.links(node, q, beam)
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(total), pa.array(homes, pa.list_(pa.int64()))], names=["node", "n_links", "homes"])
 
@@ -207,7 +208,8 @@ def _answers(beam: int | None) -> Callable:
 
 
 def _audited(beams: tuple[int, ...]) -> Callable:
-    def answer(shard: Shard, node: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+    def answer(shard: Shard, rows: pa.Table, q: np.ndarray) -> pa.RecordBatch:
+        node = rows.column("node").to_numpy()
         own = np.array([shard.n[shard.place[i]] if i in shard.place else 0 for i in node.tolist()])
         truth = (q @ shard.x.T >= shard.least) @ shard.n - own
         found = np.stack([np.minimum(shard.links(node, q, b)[0], truth) for b in beams], axis=1)
@@ -216,6 +218,37 @@ def _audited(beams: tuple[int, ...]) -> Callable:
     return answer
 
 
+def _recounted(shard: Shard, rows: pa.Table, q: np.ndarray) -> pa.RecordBatch:
+    """Links of each query into the groups that it asks for."""
+    wanted = rows.column("wanted").to_pylist()
+    row = np.repeat(np.arange(len(q)), [len(w) for w in wanted])
+    group = np.searchsorted(shard.homes, np.array([h for w in wanted for h in w], np.int64))
+    total = np.zeros(len(q), np.int64)
+    for g in np.unique(group):
+        own = row[group == g]
+        total[own] += shard.into(int(g), q[own])
+    node = rows.column("node").combine_chunks()
+    return pa.RecordBatch.from_arrays([node, pa.array(total), pa.array([[] for _ in total], pa.list_(pa.int64()))], names=["node", "n_links", "homes"])
+
+
+def _both_ways(found: DataFrame, index: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """found, and the links that only the other side's search has met: where any class of one group links into another group, all classes
+    of both are counted against the other group."""
+    hit = found.select("node", F.explode("homes").alias("to"))
+    ties = written(hit.join(index.select("node", "home"), "node").select("home", "to").distinct(), "ties")
+    ties = ties.unionByName(ties.select(F.col("to").alias("home"), F.col("home").alias("to"))).distinct()
+    open_ = unskewed(index.select("node", "home"), ties, ["home"]).select("node", "to").join(hit, ["node", "to"], "left_anti")
+    open_ = written(open_, "open")
+    if open_.isEmpty():
+        return found
+    asks = open_.join(index.select(F.col("node").alias("to"), "dim", "shard"), "to").groupBy("node", "dim", "shard").agg(F.collect_list("to").alias("wanted"))
+    asks = asks.join(classes.select("node", "x"), "node").withColumn("kind", F.lit(1))
+    own = index.join(asks.select("dim", "shard").distinct(), ["dim", "shard"], "left_semi").withColumn("kind", F.lit(0))
+    rows = own.unionByName(asks, allowMissingColumns=True).withColumn("part", F.lit(0))
+    rows = rows.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind", "pos")
+    return found.unionByName(rows.mapInArrow(_visited(least, _recounted), "node long, n_links long, homes array<long>"))
+
+
 def _visits(index: DataFrame, queries: DataFrame, shards: int, parts: int) -> DataFrame:
     """Every query beside every shard of its dimension; a shard's index stands in each of its parts."""
     some = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -259,6 +292,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
 
     beam, _ = wanted_beam(index, classes, shards, least, beams)
     found = written(_visits(index, classes, shards, parts).mapInArrow(_visited(least, _answers(beam)), "node long, n_links long, homes array<long>"), "found")
+    found = written(_both_ways(found, index, classes, least), "found")
     links = found.select(F.col("node").alias("a"), F.explode("homes").alias("b")).unionByName(index.where("node <> home").select(F.col("node").alias("a"), F.col("home").alias("b")))
     labels = components(written(links, "links"))
     named = classes.join(labels.withColumnRenamed("v", "node"), "node", "left").select("key", "node", "n", "least_id", F.coalesce("comp", "node").alias("comp"))
