@@ -282,12 +282,12 @@ def best_displayed(spark, d):
 _ALONE = "v AS (SELECT model, target, CASE WHEN m % 4 = 1 THEN mae END x FROM runs WHERE model <> 'A' OR (m = 1 AND seed = 42 AND stage = 'final'))"
 
 
-@query(f"WITH {RUNS}, {_ALONE}, s AS (SELECT model, target, avg(x) mean, stddev_pop(x) p, CASE WHEN count(x) > 1 THEN stddev_samp(x) WHEN count(x) = 1 THEN 0 END q, min(x) lo, max(x) hi, count(x) n FROM v GROUP BY ALL) SELECT model, target, k ddof, round(mean, 6) mean, round(CASE WHEN k = 0 THEN p ELSE q END, 6) std, lo, hi, n FROM s, (SELECT unnest([0, 1]) k)")
+@query(f"WITH {RUNS}, {_ALONE}, s AS (SELECT model, target, avg(x) mean, stddev_pop(x) p, CASE WHEN count(x) > 1 THEN stddev_samp(x) WHEN count(x) = 1 THEN 0 END q, min(x) lo, max(x) hi, count(x) n FROM v GROUP BY ALL) SELECT model, target, k ddof, round(mean, 4) mean, round(CASE WHEN k = 0 THEN p ELSE q END, 4) std, lo, hi, n FROM s, (SELECT unnest([0, 1]) k)")
 def summarize_ddof(spark, d):
     """Mean, both deviations, least, most and number of each cell's results, some of one value or none."""
     x = runs(spark, d).where("model <> 'A' or (m = 1 and seed = 42 and stage = 'final')").withColumn("x", F.when(F.col("m") % 4 == 1, F.col("mae")))
     each = [metrics.summarize(x, ["model", "target"], "x", k).withColumn("ddof", F.lit(k)) for k in (0, 1)]
-    return each[0].unionByName(each[1]).select("model", "target", "ddof", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "lo", "hi", "n")
+    return each[0].unionByName(each[1]).select("model", "target", "ddof", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "lo", "hi", "n")
 
 
 def _shown_sql(k: int) -> str:
