@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from .textkit import span_hashes, text_bytes
 
 #: Bytes of text that are encoded at a time.
-SLICE = 1 << 22
+SLICE = 1 << 20
 #: Bytes of a worker's cache (24 a unit for its hash, size and place, and its ids, twice for the lookup table); a full one is emptied.
 _MOST = 64 << 20
 #: Longer units, in bytes, are told apart one by one and are not cached.
@@ -48,26 +48,35 @@ class _Cached:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.bare.normalizer = self.bare.pre_tokenizer = self.bare.post_processor = None  # the same model without the steps before it
-        self.special = [t.content for t in self.bare.get_added_tokens_decoder().values()]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.tokenizer.model)  # the same model, held once, without the steps before it
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = kind
         self.clear()
 
     def clear(self) -> None:
-        self.index, self.size, self.place, self.flat = pd.Index([], dtype="uint64"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        # The newest units stand in an index of their own, so that the lookup table of all others isn't built anew at every slice.
+        self.index, self.newest = pd.Index([], dtype="uint64"), pd.Index([], dtype="uint64")
+        self.size, self.place, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def used(self) -> int:
         return 2 * 24 * len(self.size) + self.flat.nbytes
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash in the cache, -1 for new ones."""
-        return self.index.get_indexer(hashes) if len(self.size) else np.full(len(hashes), -1)
+        place = self.index.get_indexer(hashes) if len(self.index) else np.full(len(hashes), -1)
+        if len(self.newest):
+            others = np.flatnonzero(place < 0)
+            at = self.newest.get_indexer(hashes[others])
+            place[others[at >= 0]] = at[at >= 0] + len(self.index)
+        return place
 
     def add(self, hashes: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
         self.place = np.concatenate((self.place, np.cumsum(size) - size + len(self.flat)))
         self.size, self.flat = np.concatenate((self.size, size)), np.concatenate((self.flat, flat))
-        self.index = pd.Index(np.concatenate((self.index.to_numpy(), hashes)))
+        self.newest = pd.Index(np.concatenate((self.newest.to_numpy(), hashes)))
+        if 4 * len(self.newest) > len(self.index):
+            self.index, self.newest = pd.Index(np.concatenate((self.index.to_numpy(), self.newest.to_numpy()))), pd.Index([], dtype="uint64")
 
     def letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids of words of letters, all in one call; a line feed after each, which no token of letters holds, marks its end."""
