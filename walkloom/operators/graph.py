@@ -12,7 +12,8 @@ from walkloom.functions import geometry
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of every edge once."""
-    return edges.select("g", "u", "v").unionByName(edges.select("g", F.col("v").alias("u"), F.col("u").alias("v"))).dropDuplicates(["g", "u", "v"])
+    ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    return edges.select("g", F.explode(ways).alias("e")).select("g", "e.u", "e.v").dropDuplicates(["g", "u", "v"])
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -34,10 +35,13 @@ def node_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def packed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """g, n, adj (neighbours by node), z (label by node), from one shuffle by graph."""
-    adj = adjacency(nodes, edges).join(nodes.select("g", "v", "z"), ["g", "v"])
-    rows = F.array_sort(F.collect_list(F.struct("v", "nbrs", "z")))
-    return adj.groupBy("g").agg(rows.alias("r")).select("g", F.size("r").alias("n"), F.transform("r", lambda x: x["nbrs"]).alias("adj"), F.transform("r", lambda x: x["z"]).alias("z"))
+    """g, n, adj (neighbours by node), z (label by node). Nodes and edges are grouped together and never joined; if both come from one table
+    dealt by g, they stay where they are."""
+    own = nodes.where("g is not null and v is not null").select("g", "v", F.struct("z").alias("own"), F.lit(None).cast("int").alias("near"))
+    out = edges.where("g is not null").select("g", F.col("u").alias("v"), F.lit(None).cast(own.schema["own"].dataType).alias("own"), F.col("v").cast("int").alias("near"))
+    each = own.unionByName(out).groupBy("g", "v").agg(F.first("own", ignorenulls=True).alias("own"), F.array_sort(F.collect_set("near")).alias("nbrs")).where("own is not null")
+    rows = F.array_sort(F.collect_list(F.struct("v", "nbrs", F.col("own")["z"].alias("z"))))
+    return each.groupBy("g").agg(rows.alias("r")).select("g", F.size("r").alias("n"), F.transform("r", lambda x: x["nbrs"]).alias("adj"), F.transform("r", lambda x: x["z"]).alias("z"))
 
 
 def wl_ranks(nodes: DataFrame, edges: DataFrame, label: Column, rounds: int = 3) -> DataFrame:
@@ -121,3 +125,10 @@ def laplacian_eigs(nodes: DataFrame, edges: DataFrame, k: int = 4) -> DataFrame:
     from walkloom.operators import spectra
 
     return spectra.laplacian_eigs(packed(nodes, edges), k)
+
+
+def laplacian_residuals(nodes: DataFrame, edges: DataFrame, k: int = 4) -> DataFrame:
+    """g, k, norm, residual, overlap: how far the pairs of laplacian_eigs are from orthonormal eigenpairs."""
+    from walkloom.operators import spectra
+
+    return spectra.laplacian_residuals(packed(nodes, edges), k)

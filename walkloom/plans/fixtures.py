@@ -14,19 +14,18 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def g1_nodes(spark: SparkSession, d: str) -> DataFrame:
     """One node per line of an order; z is the rank of its return flag."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = Window.partitionBy("g").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     z = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), (F.row_number().over(order) - 1).alias("v"), z.alias("z"))
+    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", z.alias("z"))
+    return lines.repartition("g").select("g", (F.row_number().over(order) - 1).alias("v"), "z")
 
 
 def g1_half(nodes: DataFrame, chain: bool = True) -> DataFrame:
-    """Edges in one direction: the chain, and nodes of one label three apart, from windows over the nodes."""
+    """Edges in one direction: the chain, and nodes of one label three apart, from one pass of a window over the nodes."""
     along = Window.partitionBy("g").orderBy("v")
-    far = nodes.withColumn("same", F.lead("z", 3).over(along) == F.col("z")).where("same").select("g", F.col("v").alias("u"), (F.col("v") + 3).alias("v"))
-    if not chain:
-        return far
-    near = nodes.withColumn("next", F.lead("v").over(along)).where("next is not null").select("g", F.col("v").alias("u"), F.col("next").alias("v"))
-    return near.unionByName(far)
+    far = F.when(F.lead("z", 3).over(along) == F.col("z"), F.col("v") + 3)
+    ends = F.array(F.lead("v").over(along), far) if chain else F.array(far)
+    return nodes.select("g", F.col("v").alias("u"), ends.alias("ends")).select("g", "u", F.explode_outer("ends").alias("v")).where("v is not null")
 
 
 def g1(spark: SparkSession, d: str, chain: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -40,9 +39,10 @@ def g1_packed(spark: SparkSession, d: str, chain: bool = True) -> DataFrame:
 
 def g4_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Graphs of about 20 to 150 nodes: one for each supplier and line number, a node per line."""
-    order = Window.partitionBy("l_suppkey", "l_linenumber").orderBy("l_orderkey", "l_partkey", "l_extendedprice")
+    order = Window.partitionBy("g", "l_suppkey", "l_linenumber").orderBy("l_orderkey", "l_partkey", "l_extendedprice")
     z = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    return read(spark, d, "lineitem").select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).cast("long").alias("g"), (F.row_number().over(order) - 1).alias("v"), z.alias("z"))
+    lines = read(spark, d, "lineitem").select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).cast("long").alias("g"), "l_suppkey", "l_linenumber", "l_orderkey", "l_partkey", "l_extendedprice", z.alias("z"))
+    return lines.repartition("g").select("g", (F.row_number().over(order) - 1).alias("v"), "z")
 
 
 def g4_packed(spark: SparkSession, d: str, self_loops: bool = False) -> DataFrame:

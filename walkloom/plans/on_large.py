@@ -124,17 +124,8 @@ def rwse_powers(spark, d):
 def laplacian_residuals(spark, d):
     """Of each eigenpair: the vector's length, the largest |Lx - value x|, and the largest product with another vector, all from the edges."""
     nodes = fx.g4_nodes(spark, d)
-    edges = graph.undirected(fx.g1_half(nodes))
-    found = graph.laplacian_eigs(nodes, edges, 6)
-    deg = edges.groupBy("g", F.col("u").alias("v")).agg(F.count("*").alias("d"))
-    at = found.join(deg, ["g", "v"], "left").select("g", "v", F.sqrt(F.coalesce("d", F.lit(1))).alias("r"), "raw", "values")
-    other = at.select("g", F.col("v").alias("w"), F.transform("raw", lambda x: x / F.col("r")).alias("far"))
-    pulled = edges.select("g", F.col("u").alias("v"), F.col("v").alias("w")).join(other, ["g", "w"]).select("g", "v", F.posexplode("far").alias("k", "x")).groupBy("g", "v", "k").agg(F.sum("x").alias("pull"))
-    rows = at.select("g", "v", "r", "raw", F.posexplode("raw").alias("k", "x"), "values").join(pulled, ["g", "v", "k"], "left")
-    off = F.abs(F.col("x") - F.coalesce("pull", F.lit(0.0)) / F.col("r") - F.get("values", F.col("k")) * F.col("x"))
-    dots = F.array(*[F.sum(F.when(F.col("k") != j, F.col("x") * F.get("raw", F.lit(j))).otherwise(0.0)) for j in range(6)])
-    sums = rows.groupBy("g", "k").agg(F.round(F.sqrt(F.sum(F.col("x") ** 2)), 6).alias("norm"), F.round(F.max(off), 6).alias("residual"), F.round(F.array_max(F.transform(dots, F.abs)), 6).alias("overlap"))
-    return sums.select("g", "k", "norm", "residual", "overlap")
+    sums = graph.laplacian_residuals(nodes, graph.undirected(fx.g1_half(nodes)), 6)
+    return sums.select("g", "k", *[F.round(c, 6).alias(c) for c in ("norm", "residual", "overlap")])
 
 
 _EPOCHS, _RSD = 3, 0.05
