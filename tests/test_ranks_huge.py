@@ -63,6 +63,17 @@ def test_walks_with_hubs(spark, weighted, monkeypatch):
         assert len(got[w]) == 7
 
 
+def test_trees_do_not_pass_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(huge, "FAN", 4)
+    pairs = [p for v in range(1, 60) for p in ((0, v), (v, 0))]
+    levels = huge.neighbour_trees(spark.createDataFrame(pairs, "u long, v long"))
+    at = spark.createDataFrame([(w, 0, 3, [0]) for w in range(50)], "walk long, node long, height int, path array<long>")
+    after = huge._descended(at, levels, lambda total: total * 0.5)
+    assert len(levels) > 2 and "Broadcast" not in after._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r["path"]) for r in after.collect()} == {(0, 30)}
+    assert "Broadcast" not in after._jdf.queryExecution().executedPlan().toString()
+
+
 def test_auc_of_any_scores(spark):
     from walkloom.operators import metrics
 

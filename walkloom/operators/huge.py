@@ -59,6 +59,8 @@ def _descended(at: DataFrame, levels: list[DataFrame], drawn: Column) -> DataFra
     at = at.select("walk", "node", "height", "path", F.lit(0).cast("long").alias("block"), F.lit(None).cast("double").alias("t"))
     for level in range(len(levels), 0, -1):
         tree = levels[level - 1].select(F.col("node").alias("n"), F.col("block").alias("b"), "salt", "sums", *(["to", "to_height"] if level == 1 else []))
+        # Files hold equal copies and counts in a 160th of their rows' size: by that the optimizer would take a tree for small and send it through the driver.
+        tree = tree.hint("merge")
         # A walk at a node of fewer levels passes: its key, one of many, is no block's.
         passing = -1 - F.pmod(F.xxhash64("walk"), F.lit(1 << 20))
         key = F.col("block") if level == 1 else F.when(F.col("height") >= level, F.col("block")).otherwise(passing)
