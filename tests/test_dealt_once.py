@@ -4,8 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from walkloom.operators import graph
+from walkloom.operators import features, graph, walks
 from walkloom.plans import catalog
 
 D = "/root/testdata/sf0.001"
@@ -18,7 +19,7 @@ def dealt(df):
     return [line for line in plan.splitlines() if "Exchange hash" in line and "Reused" not in line]
 
 
-@pytest.mark.parametrize("name", ["laplacian_residuals"])
+@pytest.mark.parametrize("name", ["laplacian_residuals", "edge_encoding"])
 def test_lines_are_dealt_once(spark, name):
     assert len(dealt(catalog.QUERIES[name](spark, D))) == 1
 
@@ -69,3 +70,13 @@ def test_residuals_show_a_wrong_pair(spark, monkeypatch):
     (found,) = spectra._residuals(2)(iter(batch))
     norm, residual, overlap = (found.column(c).to_pylist() for c in ("norm", "residual", "overlap"))
     assert math.isclose(norm[1], 2) and residual[1] > 0.1 and math.isclose(overlap[0], 2) and math.isclose(overlap[1], 2)
+
+
+def test_edge_bits_inside_the_row_are_those_of_the_join(spark):
+    nodes = spark.createDataFrame([(g, v, 0) for g in (1, 2, 3) for v in range(3 * g - 2)], "g long, v int, z int")
+    edges = spark.createDataFrame([(2, 0, 1), (2, 1, 2), (2, 2, 2), (3, 0, 1), (3, 1, 0), (3, 4, 1), (3, 1, 5), (3, 5, 3), (3, 3, 4)], "g long, u int, v int")  # some in one direction only
+    found = walks.uniform(graph.packed(nodes, edges), 5, 7, keep=("adj",))
+    for some in (found, found.withColumn("ids", F.slice("ids", 1, 2)), found.withColumn("ids", F.slice("ids", 1, F.col("walk")))):
+        got, want = features.edge_encoding_packed(some, 4), features.edge_encoding(walks.steps(some), edges, 4)
+        assert got.dtypes == want.dtypes
+        assert sorted(got.collect()) == sorted(want.collect())

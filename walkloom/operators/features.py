@@ -27,6 +27,16 @@ def edge_encoding(steps: DataFrame, edges: DataFrame, s: int) -> DataFrame:
     return pairs.join(both, ["g", "prev", "node"], "left").select("g", "walk", "pos", (F.col("d") + 1).alias("d"), F.coalesce("bit", F.lit(0)).alias("bit"))
 
 
+def edge_encoding_packed(walks: DataFrame, s: int) -> DataFrame:
+    """The rows of edge_encoding from walks beside their graph (g, walk, ids, adj), inside the row: no pair of steps is dealt out."""
+    def bit(node: Column, prev: Column) -> Column:
+        return F.coalesce((F.array_contains(F.get("adj", prev), node) | F.array_contains(F.get("adj", node), prev)).cast("int"), F.lit(0))
+
+    bits = F.transform("ids", lambda x, k: F.transform(F.sequence(F.lit(1), F.lit(s)), lambda d: F.when(k >= d, bit(x, F.get("ids", k - d))).otherwise(0)))
+    rows = walks.select("g", "walk", F.posexplode_outer(bits).alias("pos", "bits")).where("pos is not null")
+    return rows.select("g", "walk", "pos", F.posexplode("bits").alias("d", "bit")).withColumn("d", F.col("d") + 1)
+
+
 def anonymised(ids: Column) -> Column:
     """Rank of first appearance of each node: 1 2 1 3 becomes 0 1 0 2."""
     return F.transform(ids, lambda x: (F.array_position(F.array_distinct(ids), x) - 1).cast("int"))

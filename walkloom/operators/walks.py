@@ -20,8 +20,9 @@ def _last(ids: Column) -> Column:
     return F.element_at(ids, -1)
 
 
-def uniform(graphs: DataFrame, nw: int, length: int | Column, seed: int = 0, drop_self_loops: bool = False, strict: bool = False) -> DataFrame:
-    """Walks of `length` nodes; a node without neighbours keeps the walk in place. strict: no step straight back unless it is the only one."""
+def uniform(graphs: DataFrame, nw: int, length: int | Column, seed: int = 0, drop_self_loops: bool = False, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Walks of `length` nodes; a node without neighbours keeps the walk in place. strict: no step straight back unless it is the only one.
+    keep: columns of the graphs that go with their walks."""
     size = length if isinstance(length, Column) else F.lit(length)
 
     def step(ids: Column, j: Column) -> Column:
@@ -36,7 +37,7 @@ def uniform(graphs: DataFrame, nw: int, length: int | Column, seed: int = 0, dro
         return F.concat(ids, F.array(nxt))
 
     ids = F.when(size > 1, F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), F.array("start"), step)).otherwise(F.array("start"))
-    return _starts(graphs, nw, seed).select("g", "walk", ids.alias("ids"))
+    return _starts(graphs, nw, seed).select("g", "walk", ids.alias("ids"), *keep)
 
 
 def mdlr(graphs: DataFrame, nw: int, length: int | Column, seed: int = 0) -> DataFrame:

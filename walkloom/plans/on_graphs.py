@@ -168,7 +168,7 @@ def repeat_encoding(spark, d):
 
 @query(f"{R}{fx.G1}, {fx.sql_walk(NW, L)} SELECT a.g, a.walk, a.pos, CAST(d AS INT) d, CASE WHEN e.g IS NOT NULL THEN 1 ELSE 0 END bit FROM w a CROSS JOIN range(1, 4) t(d) LEFT JOIN w b ON b.g = a.g AND b.walk = a.walk AND b.pos = a.pos - d LEFT JOIN e ON e.g = a.g AND e.u = b.node AND e.v = a.node")
 def edge_encoding(spark, d):
-    return features.edge_encoding(walks.steps(_walks(spark, d)), fx.g1(spark, d)[1], 3)
+    return features.edge_encoding_packed(walks.uniform(fx.g1_packed(spark, d), NW, L, keep=("adj",)), 3)
 
 
 _COVER = "SELECT g, walk, count(DISTINCT node) seen, round(count(DISTINCT node) / any_value(n)::DOUBLE, 6) share FROM w GROUP BY g, walk"
