@@ -40,3 +40,13 @@ def test_approximate_coverage(spark):
     seen = catalog.QUERIES["walk_edge_table"](spark, D).select("node").distinct().count()
     n = fixtures.g3_edges(spark, D).select("u").distinct().count()
     assert abs(row["seen"] - seen) <= 0.1 * seen and abs(row["n"] - n) <= 0.1 * n
+
+
+def test_coverage_takes_no_tree_through_the_driver(spark, monkeypatch):
+    from walkloom.operators import huge
+
+    plans, written = [], huge.written
+    monkeypatch.setattr(huge, "written", lambda df, tag: (plans.append((tag, df._jdf.queryExecution().executedPlan().toString())), written(df, tag))[1])
+    catalog.QUERIES["approx_coverage"](spark, D).collect()
+    joins = [line for tag, plan in plans if tag == "walks" for line in plan.splitlines() if "Join [node#" in line and "key#" in line]
+    assert any(tag == "inner" for tag, _ in plans) and joins and not any("Broadcast" in line for line in joins)
